@@ -8,11 +8,13 @@ exactly these semantics on UTF-8 bytes.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give memory that a worker has freed back to the system; workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
+def rows_of(batches, columns, size: int = 512):
+    """Rows of Arrow batches as tuples, converted in small parts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            yield from zip(*(part.column(c).to_pylist() for c in columns))
+
+
 def total_text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts, used only to size partitions."""
     row = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()

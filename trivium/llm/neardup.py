@@ -11,11 +11,19 @@ Candidates come from band buckets, without ever listing the pairs of a bucket:
 1. Each document is paired with one centre, the bucket mate of the highest
    degree that shares most buckets with it.  The pairs are verified on the full
    shingle sets and joined to components.
-2. Buckets that still hold several components are not done.  There, every
-   document outside the bucket's main component is compared with the members
-   of other components, first by signature inside the join (six standard
-   deviations below the threshold pass), then on the full sets.  Pairs within
-   one component need no test, so no link between components is lost.
+2. Buckets that still hold several components are not done.  For their
+   documents, shingles are ordered by how many of these documents have them; a
+   pair at the threshold must share one of the rarest shingles of each, where
+   ``n - ceil(n * threshold) + 1`` of n count as rarest.  Documents meet again
+   by these shingles.  Those outside the main component of such a meeting are
+   compared with the members of other components in blocks within a task, by
+   signature (six standard deviations below the threshold pass) and by a bitmap
+   that bounds the intersection, and the best partners are verified on the full sets.  First each document
+   looks in its largest meeting alone, then in all; while some document had more
+   partners than were taken, the search is repeated with eight times as many.
+   It ends when every pair of different components that could be linked has been
+   tested.  Pairs within one component need no test, so no link between
+   components is lost.
 
 With the default 32 bands of 4 rows, a pair at similarity 0.8 misses all
 bands with probability 5e-8.  Components are found by alternating large-star
@@ -42,6 +50,10 @@ from .common import U64, materialise, mix64, words
 
 SKETCH_SCHEMA = "doc_id long, key binary, n_shingles long, bits0 long, bits1 long, bands array<long>"
 PRIME = U64(0x9E3779B97F4A7C15)
+PART = 1024  # members of a bucket that one block of a task holds
+PARTNERS = 8
+BITMAP = 4096
+DEVIATIONS = 6  # standard deviations by which a signature may understate the similarity
 
 
 class WordHashes(dict):
@@ -130,6 +142,39 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
 
 
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """One row (s, id) for each shingle of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                blobs = part.column("shingles").to_pylist()
+                ids = np.repeat(part.column("id").to_numpy(), [len(x) // 8 for x in blobs])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(ids)], names=["s", "id"])
+
+    return sets.mapInArrow(run, "s long, id long")
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """``id, bitmap``: which of BITMAP parts of the hash space a set touches.
+
+    Sets x and y have at most popcount(X & Y) + min(n - popcount) shingles in
+    common, which comes close to their intersection unless they are large.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for blob in batch.column("shingles").to_pylist():
+                bits = np.zeros(BITMAP, np.uint8)
+                bits[(np.frombuffer(blob, np.uint64) % U64(BITMAP)).astype(np.int64)] = 1
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "bitmap"])
+
+    return sets.mapInArrow(run, "id long, bitmap binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) for which 100 * intersection >= percent * union on the full sets."""
 
@@ -187,6 +232,69 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component")).distinct()
 
 
+def open_rows(member: DataFrame, component: DataFrame, bits: DataFrame, everywhere: bool) -> DataFrame:
+    """Rows of buckets that hold several components: ``bucket, part, outside, id, c, bits0, bits1``.
+
+    Members of a bucket are dealt to parts of about PART rows; documents
+    outside its main component are ``outside`` and go to all parts.  Unless
+    ``everywhere``, a document appears in its largest open bucket only.
+    """
+    signature = [c for c in bits.columns if c != "id"]
+    of = member.join(component.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    sizes = of.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_c"), F.sum("n").alias("g"), F.max(F.struct("n", "c"))["c"].alias("main")).filter("n_c > 1").drop("n_c")
+    rows = of.join(main, "bucket")
+    if not everywhere:
+        rows = rows.groupBy("id", "c").agg(F.max(F.struct("g", "bucket", "main")).alias("top")).select("id", "c", "top.*")
+    rows = rows.join(bits, "id").withColumn("parts", F.ceil(F.col("g") / PART).cast("int"))
+    members = rows.select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("outside"), "id", "c", *signature)
+    outside = rows.filter("c <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("outside"), "id", "c", *signature)
+    return members.unionByName(outside)
+
+
+def partners(rows: DataFrame, percent: int, take: int) -> DataFrame:
+    """Pairs (a, b) to verify: for each outside document its ``take`` best by signature in each part.
+
+    A row with null a says that some document had more.
+    """
+    agree = 64 * (1 + percent / 100)
+    most = 128 - (agree - DEVIATIONS * (agree * (128 - agree) / 128) ** 0.5)
+    spread = F.pmod(F.xxhash64("bucket", "part"), F.lit(1 << 20))
+
+    def run(table: pa.Table) -> pa.Table:
+        names = ("bucket", "part", "outside", "id", "c", "bits0", "bits1", "n_shingles", "shared")
+        columns = [table.column(x).to_numpy() for x in names]
+        order = np.lexsort((columns[2], columns[1], columns[0]))
+        bucket, part, outside, ids, c, bits0, bits1, size, shared = (x[order] for x in columns)
+        bitmap = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITMAP // 64)[order]
+        extra = size - np.bitwise_count(bitmap).sum(axis=1)
+        cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1
+        pairs, cut = set(), False
+        for lo, hi in zip([0, *cuts], [*cuts, len(ids)]):
+            mid = lo + int(np.searchsorted(outside[lo:hi], True))
+            for at in range(mid, hi, 256):
+                x = slice(at, min(at + 256, hi))
+                differ = (np.bitwise_count(bits0[x, None] ^ bits0[None, lo:mid]) + np.bitwise_count(bits1[x, None] ^ bits1[None, lo:mid])).astype(np.int16)
+                differ[c[x, None] == c[None, lo:mid]] = 999
+                both = np.minimum(shared[x, None], shared[None, lo:mid])
+                good = (differ <= most) & ((100 + percent) * both >= percent * (size[x, None] + size[None, lo:mid]))
+                n = good.sum(axis=1)
+                for i in np.flatnonzero(n):
+                    j = np.flatnonzero(good[i])
+                    both = np.bitwise_count(bitmap[lo:mid][j] & bitmap[at + i]).sum(axis=1) + np.minimum(extra[lo:mid][j], extra[at + i])
+                    hit = (100 + percent) * both >= percent * (size[lo:mid][j] + size[at + i])
+                    j, both = j[hit], both[hit]
+                    if len(j) > take:
+                        cut = True
+                        j = j[np.argsort(-both, kind="stable")[:take]]
+                    a = int(ids[at + i])
+                    pairs.update((min(a, b), max(a, b)) for b in ids[lo:mid][j].tolist())
+        return pa.table({"a": pa.array([x for x, _ in pairs] + [None] * cut, pa.int64()), "b": pa.array([y for _, y in pairs] + [None] * cut, pa.int64())})
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("_g", spread).withColumn("_g", F.pmod("_g", F.lit(4 * n))).groupBy("_g").applyInArrow(run, "a long, b long")
+
+
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id, kept``."""
     sketch = materialise(sketches(docs, k, bands, rows), "sketches")
@@ -208,21 +316,28 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32,
     component = connected_components(links)
 
     # Then: what separates the components that still share a bucket.
-    open_ = member.join(component.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    sizes = open_.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_c"), F.max(F.struct("n", "c"))["c"].alias("main")).filter("n_c > 1").select("bucket", "main")
-    bits = reps.select(F.col("doc_id").alias("id"), "bits0", "bits1")
-    open_ = materialise(open_.join(main, "bucket").join(bits, "id"), "open")
-    x, y = open_.filter("c <> main").alias("x"), open_.alias("y")
-    agree = 64 * (1 + percent / 100)
-    most = 128 - (agree - 6 * (agree * (128 - agree) / 128) ** 0.5)
-    differ = F.bit_count(F.col("x.bits0").bitwiseXOR(F.col("y.bits0"))) + F.bit_count(F.col("x.bits1").bitwiseXOR(F.col("y.bits1")))
-    once = (F.col("y.c") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & once & (differ <= most))
-    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = materialise(verified(rest, sets, percent), "links")
-    if more.limit(1).count():
-        component = connected_components(links.unionByName(more))
+    rows = open_rows(member, component, reps.select(F.col("doc_id").alias("id"), "bits0", "bits1"), True).select("id").distinct()
+    tokens = shingle_rows(sets.join(rows, "id", "left_semi"))
+    common = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    ranked = tokens.join(common, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("order"))
+    ranked = reps.select(F.col("doc_id").alias("id"), "n_shingles", "bits0", "bits1").join(ranked, "id").withColumn("shared", F.size("order"))
+    prefix = F.col("shared") - F.floor((percent * F.col("n_shingles") + 99) / 100) + 1
+    ranked = materialise(ranked.withColumn("prefix", prefix.cast("int")).filter("prefix > 0").withColumn("order", F.expr("slice(order, 1, prefix)")), "ranked")
+    bits = materialise(bitmaps(sets.join(ranked.select("id"), "id", "left_semi")).join(ranked.drop("order", "prefix"), "id"), "bits")
+    member = ranked.select("id", F.explode("order.s").alias("bucket"))
+    take, everywhere = PARTNERS, False
+    while True:
+        open_ = open_rows(member, component, bits, everywhere)
+        found = materialise(partners(open_, percent, take), "partners")
+        more = materialise(verified(found.filter("a is not null").select("a", "b").distinct(), sets, percent), "links")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            component = connected_components(links)
+        if everywhere:
+            if not found.filter("a is null").limit(1).count():
+                break
+            take *= 8
+        everywhere = True
 
     of_class = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(of_class, "key", "left")
