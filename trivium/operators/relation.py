@@ -62,6 +62,14 @@ def reaches(relation: DataFrame, steps: int | None = None) -> DataFrame:
     return union(certain, possible)
 
 
+def trimmed(relation: DataFrame, rounds: int = 8) -> DataFrame:
+    """The relation without edges that cannot lie on a cycle: their source has no way in or their target no way out."""
+    for _ in range(rounds):
+        into, out = relation.select(F.col("dst").alias("src")).distinct(), relation.select(F.col("src").alias("dst")).distinct()
+        relation = relation.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst", "truth").checkpoint()
+    return relation
+
+
 def cycles(relation: DataFrame) -> DataFrame:
     """Nodes on a cycle with the truth of being on one."""
-    return reaches(relation).filter("src = dst").select(F.col("src").alias("node"), "truth")
+    return reaches(trimmed(relation.filter(F.col("truth") > 0))).filter("src = dst").select(F.col("src").alias("node"), "truth")
