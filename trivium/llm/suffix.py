@@ -35,18 +35,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, pack_sorted, text_bytes, total_text_bytes, unpack_sorted
+from .common import U64, mix64, pack_sorted, release_memory, rows_of, text_bytes, total_text_bytes, unpack_sorted
 from .suffix_sort import common_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 24
-CHUNK_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 4 << 20
+SHARD_BYTES = 3 << 19
 RUN = 128  # windows of a context at most
-FLUSH_ANCHORS = 1_500_000
+FLUSH_ANCHORS = 2_000_000
 BASE = 0xD6E8FEB86659FD93
 SPREAD = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -119,19 +121,19 @@ def sent_anchors(placed: DataFrame, buckets: int, length: int, gram: int) -> Dat
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "several"])
 
-        for batch in batches:
-            for doc_id, text, chunk in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "chunk"))):
-                if doc_id is None:
-                    continue
-                anchors = np.unique(anchor_runs(text_bytes(text), length, gram)[0])
-                if len(anchors):
-                    held[chunk].append(anchors)
-                    n += len(anchors)
-                if n >= FLUSH_ANCHORS:
-                    yield flush()
-                    n = 0
+        for doc_id, text, chunk in rows_of(batches, ("doc_id", "text", "chunk")):
+            if doc_id is None:
+                continue
+            anchors = np.unique(anchor_runs(text_bytes(text), length, gram)[0])
+            if len(anchors):
+                held[chunk].append(anchors)
+                n += len(anchors)
+            if n >= FLUSH_ANCHORS:
+                yield flush()
+                n = 0
         if held:
             yield flush()
+        release_memory()
 
     return placed.mapInArrow(run, schema)
 
@@ -143,10 +145,10 @@ def shared_anchors(sent: DataFrame) -> DataFrame:
         keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
         several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(k)) for s, k in zip(table.column("several").to_pylist(), keys)])
         known, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        shared = known[(counts > 1) | (np.bincount(inverse, several, len(known)) > 0)]
+        shared = (counts > 1) | (np.bincount(inverse, several, len(known)) > 0)
         chunks, out = table.column("chunk").to_pylist(), []
         for k in keys:
-            out.append(pack_sorted(k[np.isin(k, shared, assume_unique=True)]))
+            out.append(pack_sorted(k[shared[np.searchsorted(known, k)]]))
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "keys": pa.array(out, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, "chunk long, keys binary")
@@ -168,7 +170,7 @@ def contexts(placed: DataFrame, shared: DataFrame, shards: int, length: int, gra
         keys = np.unique(np.concatenate(keys))
         best: dict[bytes, tuple[int, int]] = {}
         found: list[tuple] = []  # anchor, doc, row, first, end, digest, bytes
-        for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist()):
+        for doc, text in rows_of([texts], ("doc_id", "text")):
             if doc is None or not len(keys):
                 continue
             data = text_bytes(text)
@@ -184,19 +186,22 @@ def contexts(placed: DataFrame, shared: DataFrame, shards: int, length: int, gra
                     best[digest] = doc
                 found.append((a, doc, row, i, j, digest, piece))
         send = [x for x in found if best[x[5]] == x[1]]
-        covered = [x for x in found if best[x[5]] != x[1]]
+        covered = [x[:5] for x in found if best[x[5]] != x[1]]
+        del found, best
         out = []
 
         def add(shard, part):
-            out.append((shard, chunk, np.array([x[0] for x in part], np.uint64).tobytes(), np.array([x[1] for x in part], np.int64).tobytes(), np.array([x[2] for x in part], np.uint64).tobytes(), np.array([x[3] for x in part], np.int64).tobytes(), np.array([x[4] - x[3] for x in part], np.int32).tobytes(), b"" if shard < 0 else b"".join(x[6] for x in part)))
+            out.append((shard, chunk, np.array([x[0] for x in part], np.uint64).tobytes(), np.array([x[1] for x in part], np.int64).tobytes(), np.array([x[2] for x in part], np.uint64).tobytes(), np.array([x[3] for x in part], np.int64).tobytes(), np.array([x[4] - x[3] for x in part], np.int32).tobytes(), b"" if shard < 0 else zstandard.compress(b"".join(x[6] for x in part), 3)))
 
         if covered:
             add(-1, covered)
         by_shard = defaultdict(list)
         for x, s in zip(send, _bucket(np.array([x[0] for x in send], np.uint64), shards).tolist()):
             by_shard[s].append(x)
-        for s, part in by_shard.items():
-            add(s, part)
+        del send
+        for s in list(by_shard):
+            add(s, by_shard.pop(s))
+        release_memory()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
 
     return placed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(run, CONTEXTS)
@@ -241,7 +246,7 @@ def covered_windows(sent: DataFrame, length: int) -> DataFrame:
             piece = np.zeros(len(a), np.int64)
             at = 0
             for data, sizes in zip(table.column("data").to_pylist(), lengths):
-                place = 0
+                data, place = zstandard.decompress(data), 0
                 for size in sizes.tolist():
                     size += length - 1
                     piece[at] = number.setdefault(data[place : place + size], len(number))
@@ -254,22 +259,25 @@ def covered_windows(sent: DataFrame, length: int) -> DataFrame:
             anchor[piece] = a
             by_anchor = np.unique(anchor, return_inverse=True, return_counts=True)
             sort = np.flatnonzero(by_anchor[2][by_anchor[1]] > 1)  # other pieces hold windows that no other piece holds
-            windows = {}
+            least_of, most_of, windows = low.copy(), low.copy(), {}
             if len(sort):
-                windows = dict(zip(sort.tolist(), smallest_documents([pieces[i] for i in sort], low[sort], length)))
+                found = smallest_documents([pieces[i] for i in sort], low[sort], length)
+                windows = dict(zip(sort.tolist(), found))
+                first = np.concatenate([[0], np.cumsum([len(x) for x in found])[:-1]])
+                found = np.concatenate(found)
+                least_of[sort], most_of[sort] = np.minimum.reduceat(found, first), np.maximum.reduceat(found, first)
+            whole = np.flatnonzero(most_of[piece] < d)
             out = []
-            for i in range(len(a)):
-                least = windows.get(int(piece[i]))
-                if least is None:
-                    if low[piece[i]] < d[i]:
-                        out.append((part[i], d[i], r[i], f[i], f[i] + n[i]))
-                    continue
-                hit = np.concatenate([[0], (least < d[i]).view(np.int8), [0]])
+            for i in np.flatnonzero((least_of[piece] < d) & (most_of[piece] >= d)).tolist():
+                hit = np.concatenate([[0], (windows[int(piece[i])] < d[i]).view(np.int8), [0]])
                 step = np.flatnonzero(np.diff(hit))
-                for x, y in zip(step[::2], step[1::2]):
-                    out.append((part[i], d[i], r[i], f[i] + x, f[i] + y))
-            hits = tuple(np.array([x[j] for x in out], np.uint64 if j == 2 else np.int64) for j in range(5))
+                for x, y in zip(step[::2].tolist(), step[1::2].tolist()):
+                    out.append((i, x, y))
+            i, x, y = (np.array([z[j] for z in out], np.int64) for j in range(3))
+            at = np.concatenate([whole, i])
+            hits = (part[at], d[at], r[at], f[at] + np.concatenate([np.zeros(len(whole), np.int64), x]), f[at] + np.concatenate([n[whole], y]))
         result = defaultdict(list)
+        release_memory()
         order = np.argsort(hits[0], kind="stable")
         hits = [h[order] for h in hits]
         cuts = np.flatnonzero(np.diff(hits[0])) + 1
@@ -300,10 +308,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     Spans are byte ranges and may cut a character; ``kept_text`` replaces what is left of one.
     """
     size = total_text_bytes(docs)
-    chunks, shards = max(24, -(-size // CHUNK_BYTES)), max(24, -(-size // SHARD_BYTES))
+    chunks, buckets, shards = (max(24, -(-size // n)) for n in (CHUNK_BYTES, BUCKET_BYTES, SHARD_BYTES))
     placed = docs.select("doc_id", "text").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     dealt = placed.repartition(chunks, "chunk")
-    shared = shared_anchors(sent_anchors(placed, shards, length, gram))
+    shared = shared_anchors(sent_anchors(placed, buckets, length, gram))
     covered = covered_windows(contexts(dealt, shared, shards, length, gram), length)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>" + ", kept_text string" * with_text
 
@@ -315,7 +323,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
         cuts = np.flatnonzero((d[1:] != d[:-1]) | (r[1:] != r[:-1])) + 1
         of = {(int(x[0]), int(y[0])): (z, w) for x, y, z, w in zip(*(np.split(v, cuts) for v in (d, r, f, e))) if len(x)}
         out = defaultdict(list)
-        for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist()):
+        for doc, text in rows_of([texts], ("doc_id", "text")):
             data = text_bytes(text)
             found = of.get((doc, xxhash.xxh3_64_intdigest(data))) if doc is not None else None
             cut = spans(found[0], found[1] + length - 1) if found else []
