@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import fold_column, fold_of
+from .common import fold_column, fold_of, release_memory
 from .features import STATISTICS, WordIds, statistics, training_rows
 
 WORDS = 1 << 14
@@ -127,7 +127,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, modulus:
     rows = rows.mapInArrow(run, "doc_id long, ids binary, vals binary, dense binary, quality int").toArrow().sort_by("doc_id")
     take = lambda name, kind: [np.frombuffer(x, kind) for x in rows.column(name).to_pylist()]
     dense = np.array(take("dense", np.float32), np.float32).reshape(-1, N_DENSE)
-    return fit(take("ids", np.int32), take("vals", np.float32), dense, rows.column("quality").to_numpy().astype(np.float32))
+    ids, vals, marks = take("ids", np.int32), take("vals", np.float32), rows.column("quality").to_numpy().astype(np.float32)
+    del rows
+    release_memory()
+    machine = fit(ids, vals, dense, marks)
+    del ids, vals
+    release_memory()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, modulus: int = 5) -> DataFrame:

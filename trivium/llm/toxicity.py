@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
 from .features import STATISTICS, WordIds, statistics, training_rows
 
 MAX_TRAINING = 20_000
@@ -77,57 +78,98 @@ def places(model_words: np.ndarray, ids: np.ndarray, row: np.ndarray) -> tuple[n
     return at[hit], row[hit]
 
 
-def markers(ids: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Words whose document counts differ between the classes by at least ``MIN_Z`` standard deviations."""
-    known, inverse = np.unique(ids, return_inverse=True)
-    n = np.bincount(inverse, minlength=len(known))
-    positive = np.bincount(inverse, y[row], len(known))
-    rate = y.mean() if len(y) else 0.0
+BLOCK = 1 << 20  # entries that are looked up at once while fitting
+
+
+@dataclass
+class Entries:
+    """Which words occur in which rows, told by codes: places in the sorted ``words``."""
+
+    words: np.ndarray
+    codes: np.ndarray
+    row: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, row: np.ndarray) -> Entries:
+        words = np.unique(ids)
+        codes = np.empty(len(ids), np.int32)
+        for at in range(0, len(ids), BLOCK):
+            codes[at : at + BLOCK] = np.searchsorted(words, ids[at : at + BLOCK])
+        return cls(words, codes, row.astype(np.int32))
+
+    def sums(self, of_row: np.ndarray) -> np.ndarray:
+        """For each word the sum of ``of_row`` over the rows that hold it."""
+        out = np.zeros(len(self.words))
+        for at in range(0, len(self.codes), BLOCK):
+            out += np.bincount(self.codes[at : at + BLOCK], of_row[self.row[at : at + BLOCK]], len(out))
+        return out
+
+    def select(self, known: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``known`` (codes) and rows, counted among those ``inside``, of the entries that both hold."""
+        place = np.full(len(self.words), -1, np.int64)
+        place[known] = np.arange(len(known))
+        number = np.where(inside, np.cumsum(inside) - 1, -1)
+        index, row = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(self.codes), BLOCK):
+            i, r = place[self.codes[at : at + BLOCK]], number[self.row[at : at + BLOCK]]
+            hit = (i >= 0) & (r >= 0)
+            index.append(i[hit])
+            row.append(r[hit])
+        return np.concatenate(index), np.concatenate(row)
+
+
+def markers(entries: Entries, inside: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Codes of words whose counts of documents ``inside`` differ between the classes by at least ``MIN_Z`` standard deviations."""
+    n, positive = entries.sums(inside.astype(float)), entries.sums(np.where(inside, y, 0.0))
+    rate = y[inside].mean() if inside.any() else 0.0
     z = (positive - n * rate) / np.sqrt(np.maximum(n * rate * (1 - rate), 1e-9))
-    return known[(n >= 2) & (np.abs(z) >= MIN_Z)]
+    return np.flatnonzero((n >= 2) & (np.abs(z) >= MIN_Z))
 
 
-def fit_linear(ids, row, dense, earlier, y, steps: int = 300, ridge: float = 1e-4) -> Linear:
-    """Full-batch Adam on the logistic loss over the marker words."""
-    known = markers(ids, row, y)
-    index, at = places(known, ids, row)
+def fit_linear(entries: Entries, inside: np.ndarray, dense, earlier, y, steps: int = 300, ridge: float = 1e-4) -> tuple[Linear, np.ndarray]:
+    """Full-batch Adam on the logistic loss over the marker words of the rows ``inside``; the model and the codes of its words."""
+    known = markers(entries, inside, y)
+    words = entries.words[known]
+    index, at = entries.select(known, inside)
+    dense, earlier, y = dense[inside], earlier[inside], y[inside]
     n, size = len(known), len(known) + N_DENSE + earlier.shape[1]
     rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
     w, b = np.zeros(size), float(np.log(rate / (1 - rate)))
     if not len(y) or rate <= 1e-6 or rate >= 1 - 1e-6:
-        return Linear(known, w, b if len(y) else -30.0)
+        return Linear(words, w, b if len(y) else -30.0), known
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        model = Linear(known, w, b)
+        model = Linear(words, w, b)
         error = (_sigmoid(model.margins(index, at, dense, earlier)) - y) / len(y)
         g = np.concatenate([np.bincount(index, error[at], n), dense.T @ error, earlier.T @ error, [error.sum()]])
         g[:-1] += ridge * w / max(1, np.sqrt(len(y)))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Linear(known, w, float(b))
+    return Linear(words, w, float(b)), known
 
 
 def fit_chain(ids: np.ndarray, row: np.ndarray, dense: np.ndarray, labels: np.ndarray, categories=CATEGORIES, folds: int = FOLDS) -> Chain:
-    """``labels``: one column a category, in the order of the chain; rows are dealt to folds in their order."""
+    """``labels``: one column a category, in the order of the chain; rows are dealt to folds in their order.
+
+    Memory: eight bytes for each word of a training row besides ``ids``, and what the markers among them take.
+    """
     mean, scale = (dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-3)) if len(dense) else (np.zeros(N_DENSE), np.ones(N_DENSE))
     x = np.clip((dense - mean) / scale, -5, 5)
     chain = Chain(tuple(categories), mean, scale)
     earlier = np.zeros((len(x), 0))
     fold = np.arange(len(x)) % folds
+    entries = Entries.of(ids, row)
     for j in range(len(categories)):
         y = labels[:, j].astype(float)
-        chain.models.append(fit_linear(ids, row, x, earlier, y))
+        chain.models.append(fit_linear(entries, np.ones(len(x), bool), x, earlier, y)[0])
         if j + 1 == len(categories):
             break
         out = np.zeros(len(x))
         for f in range(folds):
-            inside, new = fold != f, np.cumsum(fold != f) - 1
-            here = inside[row]
-            model = fit_linear(ids[here], new[row[here]], x[inside], earlier[inside], y[inside])
-            outside, other = fold == f, np.cumsum(fold == f) - 1
-            there = outside[row]
-            index, at = places(model.words, ids[there], other[row[there]])
+            outside = fold == f
+            model, known = fit_linear(entries, ~outside, x, earlier, y)
+            index, at = entries.select(known, outside)
             out[outside] = _sigmoid(model.margins(index, at, x[outside], earlier[outside]))
         earlier = np.column_stack([earlier, _logit(out)])
     return chain
@@ -173,11 +215,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Chain
     marks = labels.select("doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), (F.col("toxic") == 1).cast("int").alias("toxic"))
     rows = training_rows(docs.select("doc_id", "text"), marks, list(CATEGORIES), most)
     rows = rows.mapInArrow(run, "doc_id long, ids binary, dense binary, low_quality int, toxic int").toArrow().sort_by("doc_id")
-    found = [np.frombuffer(x, np.uint32) for x in rows.column("ids").to_pylist()]
-    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    blobs = rows.column("ids").to_pylist()
+    row = np.repeat(np.arange(len(blobs), dtype=np.int32), [len(x) // 4 for x in blobs])
+    ids = np.frombuffer(b"".join(blobs), np.uint32)
     dense = np.array([np.frombuffer(x) for x in rows.column("dense").to_pylist()], float).reshape(-1, N_DENSE)
     y = np.column_stack([rows.column(c).to_numpy() for c in CATEGORIES])
-    return fit_chain(np.concatenate([np.zeros(0, np.uint32), *found]), row, dense, y)
+    del rows, blobs
+    release_memory()
+    chain = fit_chain(ids, row, dense, y)
+    release_memory()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
