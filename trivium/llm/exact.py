@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import power_of_two_at_least, text_bytes
+from .common import power_of_two_at_least, release_memory, rows_of, text_bytes
 
 RECORD = np.dtype([("digest", "S32"), ("size", "<i8"), ("check", "<u8"), ("id", "<i8"), ("has_id", "<i1"), ("rows", "<i8")])
 RECORDS_A_RUN = 500_000
@@ -59,16 +59,15 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            normal = [text_bytes(t).lower() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    pa.array([hashlib.sha256(t).digest() for t in normal], pa.binary()),
-                    pa.array([len(t) for t in normal], pa.int64()),
-                    pa.array([xxhash.xxh3_64_intdigest(t) for t in normal], pa.uint64()).view(pa.int64()),
-                ],
-                names=["doc_id", "digest", "size", "check"],
-            )
+            ids, digests, sizes, checks = [], [], [], []
+            for doc_id, text in rows_of([batch], ("doc_id", "text")):
+                normal = text_bytes(text).lower()
+                ids.append(doc_id)
+                digests.append(hashlib.sha256(normal).digest())
+                sizes.append(len(normal))
+                checks.append(xxhash.xxh3_64_intdigest(normal))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(checks, pa.uint64()).view(pa.int64())], names=["doc_id", "digest", "size", "check"])
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, size long, check long")
 
@@ -115,6 +114,8 @@ def merged_texts(digests: DataFrame, slices: int, largest: bool = True, fan_bits
                 held, n = [], 0
         if n:
             yield emit()
+        held.clear()
+        release_memory()
 
     def merge(table: pa.Table) -> pa.Table:
         runs = [np.frombuffer(b, RECORD) for b in table.column("run").to_pylist()]

@@ -60,7 +60,7 @@ class WordIds(dict):
         self.size = size
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = zlib.crc32(word) % self.size
         self[word] = value

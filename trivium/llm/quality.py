@@ -121,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, modulus:
                 [batch.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([x.tobytes() for x in values], pa.binary()), pa.array([x.tobytes() for x in dense], pa.binary()), batch.column("quality").cast(pa.int32())],
                 names=["doc_id", "ids", "vals", "dense", "quality"],
             )
+        release_memory()
 
     learn = labels.filter(fold_column(labels["doc_id"], modulus) != 0)
     rows = training_rows(docs.select("doc_id", "text", "n_chars"), learn, ["quality"], most)
@@ -144,13 +145,14 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, modul
         m, ids = held.value, WordIds(WORDS)
         for batch in batches:
             margin = []
-            texts, n_chars = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
-            for at in range(0, len(texts), 256):
-                margin.append(m.margins(*assemble(*sparse_rows(texts[at : at + 256], n_chars[at : at + 256], ids), m.mean, m.scale)))
+            for at in range(0, batch.num_rows, 256):
+                texts, n_chars = (batch.column(c).slice(at, 256).to_pylist() for c in ("text", "n_chars"))
+                margin.append(m.margins(*assemble(*sparse_rows(texts, n_chars, ids), m.mean, m.scale)))
             p = 1 / (1 + np.exp(-np.clip(np.concatenate(margin), -30, 30))) if margin else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([fold_of(i, modulus) == 0 for i in batch.column("doc_id").to_pylist()], pa.bool_()), pa.array(p.astype(np.float64)), pa.array((p >= threshold).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
             )
+        release_memory()
 
     return docs.select("doc_id", "text", "n_chars").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

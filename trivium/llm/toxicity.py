@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory
+from .common import release_memory, rows_of
 from .features import STATISTICS, WordIds, statistics, training_rows
 
 MAX_TRAINING = 20_000
@@ -78,6 +78,7 @@ def places(model_words: np.ndarray, ids: np.ndarray, row: np.ndarray) -> tuple[n
     return at[hit], row[hit]
 
 
+PART = 256  # texts that are scored at once
 BLOCK = 1 << 20  # entries that are looked up at once while fitting
 
 
@@ -206,11 +207,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Chain
         ids = WordIds()
         for batch in batches:
             blobs, dense = [], []
-            for text in batch.column("text").to_pylist():
+            for (text,) in rows_of([batch], ("text",)):
                 words, _, stats = _inputs([text], ids)
                 blobs.append(words.tobytes())
                 dense.append(stats.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary()), pa.array(dense, pa.binary()), batch.column("low_quality").cast(pa.int32()), batch.column("toxic").cast(pa.int32())], names=["doc_id", "ids", "dense", "low_quality", "toxic"])
+        release_memory()
 
     marks = labels.select("doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), (F.col("toxic") == 1).cast("int").alias("toxic"))
     rows = training_rows(docs.select("doc_id", "text"), marks, list(CATEGORIES), most)
@@ -236,13 +238,13 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5, keep: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids = held.value, WordIds()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            parts = [predict(model, texts[at : at + 256], ids) for at in range(0, len(texts), 256)]
+            parts = [predict(model, batch.column("text").slice(at, PART).to_pylist(), ids) for at in range(0, batch.num_rows, PART)]
             p = np.concatenate(parts) if parts else np.zeros((0, len(names)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), *(batch.column(c) for c in keep), *(pa.array(c) for c in p.T), pa.array(p[:, -1]), pa.array((p[:, -1] >= threshold).astype(np.int32)), pa.array(p[:, -1] >= threshold)],
                 names=["doc_id", *keep, *names, "score", "predicted", "toxic"],
             )
+        release_memory()
 
     columns = dict.fromkeys(("doc_id", "text", *keep))
     return docs.select(*columns).mapInArrow(run, schema)
@@ -256,8 +258,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids = held.value, WordIds()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            clean = [x for at in range(0, len(texts), 256) for x in predict(model, texts[at : at + 256], ids)[:, -1] < threshold]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
+                yield part.filter(pa.array(predict(model, part.column("text").to_pylist(), ids)[:, -1] < threshold))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
