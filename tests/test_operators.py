@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from trivium.functions import text as X
 from trivium.functions import truth as T
-from trivium.operators import certain, planning, relation
+from trivium.operators import certain, diffs, ledger, planning, relation, spans
 from trivium.plans import rules
 from trivium.sources import checkpoint_folder
 
@@ -84,3 +84,45 @@ def test_anti_join_keeps_uncertainty(spark):
     outer = spark.createDataFrame([(1,), (2,), (3,)], "k int")
     inner = spark.createDataFrame([(1, 2), (2, 1), (2, 0)], "k int, t tinyint")
     assert {r.k: r.truth for r in certain.absent(outer, inner, ["k"], F.col("t")).collect()} == {1: 0, 2: 1, 3: 2}
+
+
+def test_glob_patterns():
+    import re
+
+    hit = lambda g, p: re.match(X.glob_pattern(g).replace(r"\z", r"\Z"), p) is not None
+    assert hit("a/*/c", "a/b/c") and not hit("a/*/c", "a/b/b/c") and hit("a/**/c", "a/c") and hit("a/**", "a/b/c.d")
+    assert hit("x.{rs,t{o,i}ml}", "x.toml") and not hit("x.rs", "xars") and hit("f[!a]", "fb") and not hit("f[!a]", "f/") and not hit("f?", "f/")
+    with pytest.raises(ValueError):
+        X.glob_pattern("{a")
+
+
+def test_lengths_and_versions(spark):
+    length = lambda t: tuple(value(spark, X.css_length(F.lit(t))))
+    assert [length(t) for t in ("12px", "1.5rem", "0", "50%", "auto", "calc(1px)", "7", "px")] == [("px", 12.0), ("rem", 24.0), ("zero", 0.0), ("percent", None), ("auto", None), ("calc", None), ("other", None), ("other", None)]
+    assert value(spark, X.version_key(F.lit("1.10")) > X.version_key(F.lit("1.9.3")))
+
+
+def test_ranges_against_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    outer = [(rng.randrange(3), i, a := rng.randrange(10**rng.randint(1, 6)), a + rng.randrange(10**rng.randint(1, 6))) for i in range(150)] + [(0, 150, None, 5)]
+    inner = [(rng.randrange(3), i, a := rng.randrange(10**rng.randint(1, 6)), a + rng.randrange(40)) for i in range(150)]
+    o = spark.createDataFrame(outer, "p int, x int, from long, to long")
+    got = {r.k: r.x for r in spans.tightest(spark.createDataFrame(inner, "p int, k int, start long, end long"), o, ["p"], "k", "x").collect()}
+    around = lambda p, s, e: min(((t - f, x) for q, x, f, t in outer if q == p and f is not None and f <= s and e <= t), default=(0, None))[1]
+    assert got == {k: around(p, s, e) for p, k, s, e in inner}
+    bound = {r.k: r.x for r in spans.bind(spark.createDataFrame([(p, k, s) for p, k, s, _ in inner], "p int, k int, line long"), o, ["p"], "k", "x", 50).collect()}
+    ahead = lambda p, s: min(((f, f - t, x) for q, x, f, t in outer if q == p and f is not None and s < f <= s + 50), default=(0, 0, None))[2]
+    assert bound == {k: around(p, s, s) if ahead(p, s) is None else ahead(p, s) for p, k, s, _ in inner}
+
+
+def test_blocked_and_merged(spark):
+    tickets = spark.createDataFrame([(1, "todo"), (2, "done"), (3, "todo"), (4, "done")], "id int, category string")
+    links = spark.createDataFrame([(1, "blocked-by", 3), (2, "blocks", 3), (9, "blocks", 3), (3, "blocks", 4), (3, "relates", None)], "src int, kind string, dst int")
+    assert {r.id: r.blocked for r in ledger.with_blocked(tickets, links).collect()} == {1: True, 2: False, 3: False, 4: False}
+    assert ledger.dangling(links, tickets).count() == 0
+    log = lambda *r: spark.createDataFrame(list(r), "id int, v string")
+    assert {tuple(r) for r in diffs.merge_events(log((1, "a")), log((1, "b"), (2, "c"))).collect()} == {(1, "a"), (2, "c")}
+    same = diffs.identity_delta(F.lit("a"), F.lit(None).cast("string"), F.lit("a"), F.lit(None).cast("string"))
+    assert value(spark, same) == "Modified"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,3 +62,59 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
 def contrast(a: Column, b: Column) -> Column:
     """Contrast ratio of two luminances."""
     return (F.greatest(a, b) + 0.05) / (F.least(a, b) + 0.05)
+
+
+def glob_pattern(glob: str) -> str:
+    """A path pattern as an anchored regular expression, compiled once on the driver.
+
+    ``**`` crosses folders (``**/`` also stands for no folder), ``*`` and ``?`` stay in one,
+    ``[...]`` is a class (``!`` negates), ``{a,b}`` are alternatives, which nest.
+    """
+    out, depth, i = [], 0, 0
+    while i < len(glob):
+        c = glob[i]
+        if glob.startswith("**/", i):
+            out.append("(?:.*/)?")
+            i += 3
+            continue
+        if glob.startswith("**", i):
+            out.append(".*")
+            i += 2
+            continue
+        if c == "[" and "]" in glob[i + 2 :]:
+            end = glob.index("]", i + 2)
+            inner = glob[i + 1 : end].replace("\\", r"\\").replace("[", r"\[").replace("&", r"\&")
+            out.append("[" + ("^/" + inner[1:] if inner[:1] == "!" else inner) + "]")
+            i = end + 1
+            continue
+        if c == "{":
+            depth += 1
+            out.append("(?:")
+        elif c == "}" and depth:
+            depth -= 1
+            out.append(")")
+        elif c == "," and depth:
+            out.append("|")
+        else:
+            out.append({"*": "[^/]*", "?": "[^/]"}.get(c) or re.sub(r"([^\w/-])", r"\\\1", c))
+        i += 1
+    if depth:
+        raise ValueError(f"{glob!r}: a brace is not closed")
+    return "^" + "".join(out) + r"\z"
+
+
+def css_length(text: Column, root: float = 16.0) -> Column:
+    """struct(kind, px): px as given, rem times ``root``, zero; percentages, auto, calc and others have no px."""
+    t = F.trim(text)
+    number = F.regexp_extract(t, r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))(px|rem|%)?\z", 1)
+    unit = F.regexp_extract(t, r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))(px|rem|%)?\z", 2)
+    n = F.when(number != "", number.cast("double"))
+    kind = F.when((n == 0) & (unit == ""), "zero").when(n.isNotNull() & (unit == "px"), "px").when(n.isNotNull() & (unit == "rem"), "rem").when(n.isNotNull() & (unit == "%"), "percent").when(t == "auto", "auto").when(t.startswith("calc("), "calc").when(t.isNotNull(), "other")
+    px = F.when(kind == "zero", F.lit(0.0)).when(kind == "px", n).when(kind == "rem", n * root)
+    return F.struct(kind.alias("kind"), px.alias("px"))
+
+
+def version_key(version: Column, parts: int = 4) -> Column:
+    """Numeric components padded with zeros: keys compare as versions do."""
+    numbers = F.transform(F.regexp_extract_all(version, F.lit("([0-9]+)"), 1), lambda x: x.cast("long"))
+    return F.slice(F.concat(numbers, F.array_repeat(F.lit(0).cast("long"), parts)), 1, parts)

@@ -8,23 +8,10 @@ from pyspark.sql import functions as F
 from trivium.functions import text as X
 from trivium.functions import truth as T
 from trivium.operators import certain, planning, relation
-from trivium.plans import rules
+from trivium.plans import ledger_queries, rules  # noqa: F401  (registers its queries)
+from trivium.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from trivium.sources import checkpoint_folder, table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 TOXIC = "SELECT source, lang, count(*) FILTER (toxic = 1) AS lo, count(*) FILTER (toxic = 1 OR toxic IS NULL) AS hi FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source, lang"
 
 
