@@ -75,14 +75,12 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` consecutive values (prefix and suffix minima of blocks)."""
-    n = len(values) - width + 1
-    padded = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(values)] = values
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+    """Minimum of each ``width`` consecutive values, by doubling; the last step joins two overlapping halves."""
+    n, done = len(values) - width + 1, 1
+    while 2 * done <= width:
+        values = np.minimum(values[: len(values) - done], values[done:])
+        done *= 2
+    return np.minimum(values[:n], values[width - done : width - done + n])
 
 
 def anchor_runs(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,41 +166,45 @@ def contexts(placed: DataFrame, shared: DataFrame, shards: int, length: int, gra
             return pa.table([pa.array([], t) for t in types], names=names)
         chunk = texts.column("chunk")[0].as_py()
         keys = np.unique(np.concatenate(keys))
-        best: dict[bytes, tuple[int, int]] = {}
-        found: list[tuple] = []  # anchor, doc, row, first, end, digest, bytes
+        best: dict[bytes, int] = {}
+        held = []  # of each text its document, row, bytes and the anchor, first window, end and digest of its contexts
         for doc, text in rows_of([texts], ("doc_id", "text")):
             if doc is None or not len(keys):
                 continue
             data = text_bytes(text)
-            row = xxhash.xxh3_64_intdigest(data)
             anchors, first, end = anchor_runs(data, length, gram)
             at = np.minimum(np.searchsorted(keys, anchors), len(keys) - 1)
             hit = np.flatnonzero(keys[at] == anchors)
-            for a, i, j in zip(anchors[hit].tolist(), first[hit].tolist(), end[hit].tolist()):
-                piece = data[i : j + length - 1]
-                digest = xxhash.xxh3_128_digest(piece)
-                now = best.get(digest)
-                if now is None or doc < now:
+            if not len(hit):
+                continue
+            anchors, first, end = anchors[hit], first[hit], end[hit]
+            digests = [xxhash.xxh3_128_digest(data[i:j]) for i, j in zip(first.tolist(), (end + length - 1).tolist())]
+            for digest in digests:
+                if best.setdefault(digest, doc) > doc:
                     best[digest] = doc
-                found.append((a, doc, row, i, j, digest, piece))
-        send = [x for x in found if best[x[5]] == x[1]]
-        covered = [x[:5] for x in found if best[x[5]] != x[1]]
-        del found, best
+            held.append((doc, xxhash.xxh3_64_intdigest(data), data, anchors, first, end, digests))
+        if not held:
+            return pa.table([pa.array([], t) for t in types], names=names)
+        least = np.fromiter((best[digest] for x in held for digest in x[6]), np.int64)
+        del best
+        counts = [len(x[3]) for x in held]
+        of = np.repeat(np.arange(len(held)), counts)
+        docs, rows = (np.repeat(np.array([x[i] for x in held], t), counts) for i, t in ((0, np.int64), (1, np.uint64)))
+        anchors, first, end = (np.concatenate([x[i] for x in held]) for i in (3, 4, 5))
+        data = [x[2] for x in held]
+        del held
+        shard = np.where(least == docs, _bucket(anchors, shards), -1)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.diff(shard[order])) + 1
         out = []
-
-        def add(shard, part):
-            out.append((shard, chunk, np.array([x[0] for x in part], np.uint64).tobytes(), np.array([x[1] for x in part], np.int64).tobytes(), np.array([x[2] for x in part], np.uint64).tobytes(), np.array([x[3] for x in part], np.int64).tobytes(), np.array([x[4] - x[3] for x in part], np.int32).tobytes(), b"" if shard < 0 else zstandard.compress(b"".join(x[6] for x in part), 3)))
-
-        if covered:
-            add(-1, covered)
-        by_shard = defaultdict(list)
-        for x, s in zip(send, _bucket(np.array([x[0] for x in send], np.uint64), shards).tolist()):
-            by_shard[s].append(x)
-        del send
-        for s in list(by_shard):
-            add(s, by_shard.pop(s))
+        for at in np.split(order, cuts):
+            to = int(shard[at[0]])
+            ranges = zip(of[at].tolist(), first[at].tolist(), (end[at] + length - 1).tolist())
+            pieces = b"" if to < 0 else zstandard.compress(b"".join([data[t][i:j] for t, i, j in ranges]), 3)
+            columns = (anchors[at], docs[at], rows[at], first[at].astype(np.int64), (end[at] - first[at]).astype(np.int32))
+            out.append((to, chunk, *(c.tobytes() for c in columns), pieces))
         release_memory()
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     return placed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(run, CONTEXTS)
 
