@@ -118,3 +118,80 @@ def version_key(version: Column, parts: int = 4) -> Column:
     """Numeric components padded with zeros: keys compare as versions do."""
     numbers = F.transform(F.regexp_extract_all(version, F.lit("([0-9]+)"), 1), lambda x: x.cast("long"))
     return F.slice(F.concat(numbers, F.array_repeat(F.lit(0).cast("long"), parts)), 1, parts)
+
+
+def glob_pattern_column(glob: Column) -> Column:
+    """:func:`glob_pattern` for patterns that are data: ``**``, ``*``, ``?``, classes and alternatives that do not nest."""
+    p = F.regexp_replace(glob, r"([.+^$()|\\])", r"\\$1")
+    for mark, what in (("\x01", "**/"), ("\x02", "**"), ("\x03", "*"), ("\x04", "?")):
+        p = F.replace(p, F.lit(what), F.lit(mark))
+    for mark, regex in (("\x01", "(?:.*/)?"), ("\x02", ".*"), ("\x03", "[^/]*"), ("\x04", "[^/]"), ("[!", "[^/")):
+        p = F.replace(p, F.lit(mark), F.lit(regex))
+    p = F.when(p.contains("{"), F.replace(F.replace(F.replace(p, F.lit(","), F.lit("|")), F.lit("{"), F.lit("(?:")), F.lit("}"), F.lit(")"))).otherwise(p)
+    return F.concat(F.lit("^"), p, F.lit(r"\z"))
+
+
+def fingerprint(rule: Column, anchor: Column, message: Column) -> Column:
+    """Identity of a finding: a digest of its rule, its anchor and its message without numbers, each with its length before it."""
+    part = lambda c: F.concat(F.octet_length(F.coalesce(c, F.lit(""))).cast("string"), F.lit(":"), F.coalesce(c, F.lit("")))
+    return F.sha2(F.concat(part(rule), part(anchor), part(fingerprint_text(message))).cast("binary"), 256)
+
+
+def called_names(body: Column) -> Column:
+    """Distinct identifiers that stand before '(' and are not declared there."""
+    return F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?<![\w!])(?<!\bfn\s)(?<!\bdef\s)([A-Za-z_]\w*)\s*\("), 1))
+
+
+def is_ulid(text: Column) -> Column:
+    """26 digits of base 32, the first at most 7."""
+    return text.rlike(r"^[0-7][0-9A-HJKMNP-TV-Z]{25}\z")
+
+
+def redact_homes(text: Column) -> Column:
+    """Names of home folders replaced."""
+    return F.regexp_replace(text, r"(/home/|/Users/|[A-Za-z]:\\Users\\)[^/\\\s]+", "$1<user>")
+
+
+# Words that add nothing to the name of a rule.
+FILLER = (
+    "does", "do", "not", "no", "apply", "applies", "to", "this", "here", "is", "ok", "okay",
+    "fine", "the", "a", "rule", "ignore", "ignored", "skip", "skipped", "disabled",
+)
+
+
+def reason_fault(reason: Column, least: int = 20, banned: tuple[str, ...] = ("temporary", "for now")) -> Column:
+    """Why a reason is refused, null if it is not: too short, a banned phrase, only a rule's name, a repeated word."""
+    trimmed = F.trim(reason)
+    words = F.filter(F.split(F.lower(trimmed), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    phrase = F.coalesce(*(F.when(line.contains(f" {' '.join(p.lower().split())} "), F.lit(p)) for p in banned)) if banned else F.lit(None)
+    is_rule = lambda w: w.rlike(r"^[a-z]{2,6}[0-9]{3}\z")
+    bare = F.exists(words, is_rule) & F.forall(words, lambda w: is_rule(w) | w.isin(*FILLER))
+    twice = F.exists(F.zip_with(words, F.slice(words, 2, 1_000_000_000), lambda a, b: a == b), lambda x: x)
+    return F.when(F.length(trimmed) < least, "short").when(phrase.isNotNull(), "banned").when(bare, "restates").when(twice, "repeats")
+
+
+def hex_colour(text: Column) -> Column:
+    """#rgb, #rgba, #rrggbb or #rrggbbaa as struct(r, g, b, a) of 0 to 1; null if it is none."""
+    digits = F.regexp_extract(F.lower(F.trim(text)), r"^#([0-9a-f]{8}|[0-9a-f]{6}|[0-9a-f]{3,4})\z", 1)
+    full = F.when(F.length(digits) <= 4, F.regexp_replace(digits, "(.)", "$1$1")).otherwise(digits)
+    channel = lambda i: F.conv(F.substring(full, i, 2), 16, 10).cast("double") / 255.0
+    return F.when(digits != "", F.struct(channel(1).alias("r"), channel(3).alias("g"), channel(5).alias("b"), F.when(F.length(full) == 8, channel(7)).otherwise(F.lit(1.0)).alias("a")))
+
+
+def to_hex(r: Column, g: Column, b: Column) -> Column:
+    """#rrggbb of channels 0 to 1, bytes rounded half to even."""
+    byte = lambda c: F.lpad(F.lower(F.hex(F.rint(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * 255.0).cast("long"))), 2, "0")
+    return F.concat(F.lit("#"), byte(r), byte(g), byte(b))
+
+
+def redmean(a: Column, b: Column) -> Column:
+    """Distance of two colour structs, weighted by their mean red."""
+    mean = (a["r"] + b["r"]) * 255.0 / 2.0
+    d = {c: (a[c] - b[c]) * 255.0 for c in "rgb"}
+    return F.sqrt((2.0 + mean / 256.0) * d["r"] * d["r"] + 4.0 * d["g"] * d["g"] + (2.0 + (255.0 - mean) / 256.0) * d["b"] * d["b"])
+
+
+def identifier(name: Column) -> Column:
+    """A name with runs of other characters than letters, digits and '_' as single '-'; none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}_]+", "-"), r"^-+|-+$", "")

@@ -44,3 +44,10 @@ def latest_into(events: DataFrame, key: str, state: str, order: list[str], at: s
     w = Window.partitionBy(key).orderBy(*order)
     entered = events.withColumn("_before", F.lag(state).over(w)).filter(~F.col(state).eqNullSafe(F.col("_before")))
     return entered.groupBy(key).agg(F.max_by(state, position).alias(state), F.max_by(at, position).alias("since"))
+
+
+def first_names(rows: DataFrame, group: list[str], name: str, most: int) -> DataFrame:
+    """``group, first``: the least ``most`` names of each group; each task keeps no more of a group before the shuffle."""
+    w = Window.partitionBy(*group).orderBy(name)
+    few = rows.filter(F.col(name).isNotNull()).select(*group, name).distinct().withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= most)
+    return few.groupBy(*group).agg(F.array_sort(F.collect_list(name)).alias("first"))

@@ -65,3 +65,25 @@ def reaches(relation: DataFrame, steps: int | None = None) -> DataFrame:
 def cycles(relation: DataFrame) -> DataFrame:
     """Nodes on a cycle with the truth of being on one."""
     return reaches(relation).filter("src = dst").select(F.col("src").alias("node"), "truth")
+
+
+def reach_from(seeds: DataFrame, edges: DataFrame, steps: int | None = None, node: str = "node") -> DataFrame:
+    """Nodes that the seeds reach, themselves included: only nodes are carried, never pairs."""
+    edges = edges.select(*PAIR).distinct().checkpoint()
+    known = frontier = seeds.select(F.col(node)).distinct().checkpoint()
+    done = 0
+    while steps is None or done < steps:
+        reached = edges.join(frontier, edges["src"] == frontier[node], "left_semi").select(F.col("dst").alias(node)).distinct()
+        frontier = reached.join(known, node, "left_anti").checkpoint()
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier).checkpoint()
+        done += 1
+    return known
+
+
+def covered_by(subjects: DataFrame, seeds: DataFrame, relation: DataFrame, steps: int | None = None, node: str = "node") -> DataFrame:
+    """``subjects`` with ``lo, hi`` (0 or 1): do the seeds reach them by certain edges, do they by any?"""
+    sure = reach_from(seeds, relation.filter(F.col("truth") == YES), steps, node).withColumn("lo", F.lit(1).cast("long"))
+    maybe = reach_from(seeds, relation.filter(F.col("truth") > 0), steps, node).withColumn("hi", F.lit(1).cast("long"))
+    return subjects.join(sure, node, "left").join(maybe, node, "left").fillna(0, ["lo", "hi"])

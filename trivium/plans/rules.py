@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VERDICTS = "array<string>"
+from trivium.operators import planning
+
+SEVERITIES = ("error", "warn", "advisory", "unresolved")
 
 
 def _list(*pairs: tuple[Column, str]) -> Column:
@@ -52,4 +54,25 @@ def account(judged: DataFrame, subject: list[str], must_measure: bool = False) -
 def rollup(judged: DataFrame, group: list[str], name: str) -> DataFrame:
     """Unresolved subjects of each group: how many, and the first three names."""
     rows = judged.filter("verdict = 'Unresolved'")
-    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set(name)), 1, 3), ",").alias("names"))
+    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    first = planning.first_names(rows, group, name, 3).withColumnRenamed("first", "names")
+    return counts.join(first, group).withColumn("names", F.array_join("names", ","))
+
+
+def tally(findings: DataFrame, *by: str) -> DataFrame:
+    """Findings by severity."""
+    return findings.groupBy(*by).agg(*(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES))
+
+
+def gate(findings: DataFrame, fail_on: str, fail_on_unresolved: bool = False) -> DataFrame:
+    """One row ``failed``: does a finding reach ``fail_on``, or a required one stay unresolved where that fails too?"""
+    rank = F.coalesce(*(F.when(F.col("severity") == s, F.lit(i)) for i, s in enumerate(SEVERITIES)))
+    bad = (F.col("severity") != "unresolved") & (rank <= SEVERITIES.index(fail_on))
+    if fail_on_unresolved:
+        bad = bad | ((F.col("severity") == "unresolved") & F.col("required").isNotNull())
+    return findings.agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("failed"))
+
+
+def unmeasured(rules: DataFrame, verdicts: DataFrame, rule: str = "rule") -> DataFrame:
+    """Rules that examined no subject at all."""
+    return rules.join(verdicts.select(rule).distinct(), rule, "left_anti")
