@@ -27,6 +27,8 @@ _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in "|*#$%&@=~^_<>{}[]\\"]] = True
 
+BROADCAST_ROWS = 200_000
+
 
 def statistics(text: str | None) -> tuple[list[float], list[bytes], Counter]:
     """Structure statistics of a whole text, its lower-cased words and their counts."""
@@ -74,4 +76,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], most:
     """
     wanted = labels.filter("doc_id is not null").filter(" and ".join(f"{c} is not null" for c in columns)).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.join(wanted.withColumnRenamed("doc_id", "_labelled"), F.col("doc_id") == F.col("_labelled")).drop("_labelled")
+    wanted = wanted.withColumnRenamed("doc_id", "_labelled")
+    if most <= BROADCAST_ROWS:  # the limit above bounds what is sent; texts are then not shuffled
+        wanted = F.broadcast(wanted)
+    return docs.join(wanted, F.col("doc_id") == F.col("_labelled")).drop("_labelled")
