@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from trivium.functions import text as X
 from trivium.functions import truth as T
-from trivium.operators import certain, diffs, ledger, planning, relation, spans
+from trivium.operators import certain, diffs, ledger, links, planning, relation, spans
 from trivium.plans import rules
 from trivium.sources import checkpoint_folder
 
@@ -126,3 +126,21 @@ def test_blocked_and_merged(spark):
     assert {tuple(r) for r in diffs.merge_events(log((1, "a")), log((1, "b"), (2, "c"))).collect()} == {(1, "a"), (2, "c")}
     same = diffs.identity_delta(F.lit("a"), F.lit(None).cast("string"), F.lit("a"), F.lit(None).cast("string"))
     assert value(spark, same) == "Modified"
+
+
+def test_broken_links_of_every_form(spark):
+    pages = spark.createDataFrame([("en/a", ["top", "two-words"]), ("en/b.html", []), ("unread", None)], "path string, slugs array<string>")
+    fine = ["b.html", "/en/a#top", "#Two words", "?page=2", "../en/a?q#x", "a?q=1#zz", "/unread#any", "b.html#", "/", "https://x.y/z", "//x/y", "./a#top?q"]
+    bad = {"no.": "missing", "/et.": "missing", "x": "missing", "../x?q=1": "missing", "../../x": "leaves", "#none": "anchor", "b.html#top": "anchor", "/en/a?q=1#top": None, "/en/a#none": "anchor", "c#top": "missing"}
+    rows = spark.createDataFrame([("en/a", "/en/", t) for t in [*fine, *bad]], "path string, folder string, target string")
+    got = {r.target: r.problem for r in links.broken(rows, pages).collect()}
+    assert got == {t: p for t, p in bad.items() if p}
+
+
+def test_broken_link_anchor_judges_all_internal_links(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    html = '<h1>A <b>big</b> &amp; title</h1><a href="/et."><a href="x"><a href="../../.."><a href="#a-big--title"><a href="#no"><a href="2.html?p=1">'
+    spark.createDataFrame([(1, "http://h/en/1?q=1", html), (2, "http://h/en/2.html#top", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.target, r.problem) for r in entry.queries()["broken_link_anchor"](spark, str(tmp_path)).collect()}
+    assert got == {("/et.", "missing"), ("x", "missing"), ("../../..", "leaves"), ("#no", "anchor")}

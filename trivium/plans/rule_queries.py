@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trivium.functions import text as X
-from trivium.operators import planning, relation, selectors, workflow
+from trivium.operators import links, planning, relation, selectors, workflow
 from trivium.plans import rule_plans, rulelang, rules
 from trivium.plans.registry import query
 from trivium.sources import checkpoint_folder, table
@@ -195,7 +195,7 @@ def affects_not_acked(spark, d):
 @query("""WITH h AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages), k AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages)
 SELECT page_id, target FROM h WHERE NOT regexp_matches(target, '^(//|[A-Za-z][A-Za-z0-9+.-]*:)') AND target LIKE '/%' AND NOT regexp_matches(target, '[.#?]|//') AND length(target) > 1 AND NOT EXISTS (SELECT 1 FROM k WHERE path = target)""")
 def broken_links(spark, d):
-    """Plain relative links whose resolved target is no page."""
+    """Plain links from the root whose target is no page; :func:`broken_link_anchor` judges every internal link."""
     pages = table(spark, d, "pages").select("page_id", "url", "html")
     links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target")).distinct()
     inner = links.filter(~X.is_external(F.col("target")) & F.col("target").startswith("/") & ~F.col("target").rlike("[.#?]|//") & (F.length("target") > 1))
@@ -204,6 +204,26 @@ def broken_links(spark, d):
     return resolved.join(known, "path", "left_anti").select("page_id", "target")
 
 
+RESOLVED = "list_reduce(list_filter(string_split({}, '/'), lambda v: v NOT IN ('', '.')), lambda a, v: CASE WHEN v <> '..' THEN a || '/' || v WHEN a <> '' THEN regexp_replace(a, '/[^/]*$', '') END, '')"
+
+
+@query(rf"""WITH p AS (SELECT page_id, html, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages), k AS (SELECT page_id, html, {RESOLVED.format("path")} AS path, regexp_replace(path, '[^/]*$', '') AS folder FROM p),
+h AS (SELECT DISTINCT page_id, path, folder, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM k),
+s AS (SELECT *, split_part(split_part(target, '?', 1), '#', 1) AS name, regexp_extract(split_part(target, '?', 1), '#(.*)$', 1) AS anchor FROM h WHERE NOT regexp_matches(target, '^(//|[A-Za-z][A-Za-z0-9+.-]*:)')),
+w AS (SELECT *, CASE WHEN name LIKE '/%' THEN name ELSE folder || '/' || name END AS whole FROM s), r AS (SELECT *, CASE WHEN name = '' THEN path ELSE {RESOLVED.format("whole")} END AS resolved, replace(regexp_replace(trim(lower(anchor)), '[^\pL\pN _-]', '', 'g'), ' ', '-') AS slug FROM w),
+a AS (SELECT DISTINCT path, replace(regexp_replace(trim(regexp_replace(lower(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)), '<[^>]*>', '', 'g'), '&[A-Za-z0-9#]+;', '&', 'g')), '\s+', ' ', 'g')), '[^\pL\pN _-]', '', 'g'), ' ', '-') AS slug FROM k),
+j AS (SELECT page_id, target, CASE WHEN resolved IS NULL THEN 'leaves' WHEN name <> '' AND resolved <> '' AND resolved NOT IN (SELECT path FROM k) THEN 'missing'
+WHEN anchor <> '' AND resolved IN (SELECT path FROM k) AND NOT EXISTS (SELECT 1 FROM a WHERE a.path = resolved AND a.slug = r.slug) THEN 'anchor' END AS problem FROM r) SELECT * FROM j WHERE problem IS NOT NULL""")
+def broken_link_anchor(spark, d):
+    """Internal links that leave the site, whose target is no page, or whose anchor is no heading of it; entities in headings stand for no letter."""
+    url_path = F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1)
+    pages = table(spark, d, "pages").select("page_id", "html", X.resolve_path(url_path, F.lit("")).alias("path"), F.regexp_replace(url_path, "[^/]*$", "").alias("folder"))
+    hrefs = pages.select("page_id", "path", "folder", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target")).distinct()
+    headings = F.regexp_extract_all("html", F.lit("(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), 1)
+    slugs = F.transform(headings, lambda h: X.slug(X.collapse_space(F.regexp_replace(F.regexp_replace(h, "<[^>]*>", ""), "&[A-Za-z0-9#]+;", "&"))))
+    return links.broken(hrefs, pages.select("path", slugs.alias("slugs"))).select("page_id", "target", "problem")
+
+
 WORDS = r"SELECT doc_id, trim(text) AS x, list_filter(regexp_split_to_array(lower(trim(text)), '[^\pL\pN]+'), lambda v: v <> '') AS w FROM documents"
 
 
