@@ -144,3 +144,12 @@ def test_broken_link_anchor_judges_all_internal_links(spark, tmp_path):
     spark.createDataFrame([(1, "http://h/en/1?q=1", html), (2, "http://h/en/2.html#top", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {(r.target, r.problem) for r in entry.queries()["broken_link_anchor"](spark, str(tmp_path)).collect()}
     assert got == {("/et.", "missing"), ("x", "missing"), ("../../..", "leaves"), ("#no", "anchor")}
+
+
+def test_cards_that_are_never_cut(spark):
+    cards = spark.createDataFrame([(c, i) for c in ("active", "todo", "expedite") for i in range(5)] + [("done", 9)], "lane string, card int")
+    got = planning.columns_with_hidden(cards, "lane", ["card"], 2, F.col("lane").isin("active", "expedite")).collect()
+    shown = {}
+    for r in got:
+        shown.setdefault((r.lane, r.hidden), []).append(r.card)
+    assert {k: sorted(v) for k, v in shown.items()} == {("active", 0): [0, 1, 2, 3, 4], ("expedite", 0): [0, 1, 2, 3, 4], ("todo", 3): [0, 1], ("done", 0): [9]}

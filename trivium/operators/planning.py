@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,11 +31,15 @@ def greedy_fill(items: DataFrame, group: str, order: list[str], size: str, limit
     return done.select(group, F.explode(F.arrays_zip("l", "p")).alias("r")).select(group, F.col("r.l.item").alias("item"), F.col("r.p").alias("picked"))
 
 
-def columns_with_hidden(cards: DataFrame, column: str, order: list, most: int) -> DataFrame:
-    """The first ``most`` cards of each column, with the number that is hidden."""
+def columns_with_hidden(cards: DataFrame, column: str, order: list, most: int, whole: Column | None = None) -> DataFrame:
+    """The first ``most`` cards of each column, with the number that is hidden; cards that are ``whole`` are never cut."""
     place = Window.partitionBy(column).orderBy(*order)
-    counts = cards.groupBy(column).agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("hidden"))
-    return cards.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most).join(counts, column)
+    if whole is None:
+        counts = cards.groupBy(column).agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("hidden"))
+        return cards.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most).join(counts, column)
+    marked = cards.withColumn("_whole", F.coalesce(whole, F.lit(False))).withColumn("place", F.row_number().over(place))
+    marked = marked.withColumn("_cut", (F.col("place") > most) & ~F.col("_whole"))
+    return marked.withColumn("hidden", F.count_if("_cut").over(Window.partitionBy(column))).filter("not _cut").drop("_whole", "_cut")
 
 
 def latest_into(events: DataFrame, key: str, state: str, order: list[str], at: str) -> DataFrame:

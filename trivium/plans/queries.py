@@ -161,6 +161,16 @@ def board_topk_hidden(spark, d):
     return planning.columns_with_hidden(cards, "o_orderstatus", [F.desc("o_totalprice"), F.col("o_orderkey")], 8).select("o_orderstatus", "o_orderkey", "place", "hidden")
 
 
+@query("""WITH c AS (SELECT CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F' THEN 'expedite' WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'P' THEN 'active' ELSE 'backlog' END AS lane, o_orderkey, o_totalprice FROM orders),
+r AS (SELECT lane, o_orderkey, CAST(row_number() OVER (PARTITION BY lane ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS place, count(*) OVER (PARTITION BY lane) AS n FROM c)
+SELECT lane, o_orderkey, place, CASE WHEN lane IN ('active', 'expedite') THEN 0 ELSE greatest(n - 8, 0) END AS hidden FROM r WHERE place <= 8 OR lane IN ('active', 'expedite')""")
+def board_lanes(spark, d):
+    """The board with its expedite lane: neither the lane nor work in progress is cut, as `board_topk_hidden` cuts every column."""
+    lane = F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") != "F"), "expedite").when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "P", "active").otherwise("backlog")
+    cards = table(spark, d, "orders").select(lane.alias("lane"), "o_orderkey", "o_totalprice")
+    return planning.columns_with_hidden(cards, "lane", [F.desc("o_totalprice"), F.col("o_orderkey")], 8, F.col("lane").isin("active", "expedite")).select("lane", "o_orderkey", "place", "hidden")
+
+
 @query("""SELECT coalesce(o.p_partkey, n.k) AS p_partkey, CASE WHEN o.p_partkey IS NULL THEN 'Added' WHEN n.k IS NULL THEN 'Deleted' ELSE 'Modified' END AS change
 FROM (SELECT p_partkey, p_brand AS v FROM part WHERE p_partkey % 10 <> 0) o FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_size > 40 THEN 'x' ELSE p_brand END AS v FROM part WHERE p_partkey % 7 <> 0) n ON n.k = o.p_partkey
 WHERE o.p_partkey IS NULL OR n.k IS NULL OR o.v IS DISTINCT FROM n.v""")
