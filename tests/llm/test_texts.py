@@ -153,6 +153,19 @@ def test_packing_round_trip(documents, rows):
         check_packing(rows, packing.pack(documents, encoder(), capacity).collect(), capacity)
 
 
+def test_packing_of_texts_with_the_added_token(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"see {mark} here", mark, mark * 3, f"a  {mark}  b\n{mark}\n", f"x{mark}y", "<|endoftext|", f"  {mark} {mark[:-1]}", None]
+    pieces = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), encoder()).filter("start = 0").collect()}
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        assert encoder()()(text or "") == ids[:-1]
+        assert pieces[i].doc_tokens == len(ids)
+        assert pieces[i].ids_crc32 == zlib.crc32(np.array(ids[: pieces[i].length], "<u4").tobytes())
+
 def test_packing_with_few_tails_in_memory(documents, rows):
     check_packing(rows, packing.pack(documents, encoder(), 1024, max_tails=4).collect(), 1024)
 

@@ -125,13 +125,21 @@ def powers_of_two(window: list[tuple[int, tuple]]) -> Iterator[list[tuple[int, t
             yield out
 
 
-def rank_encoder(ranks_path: str, pattern: str) -> Callable[[str], list[int]]:
-    """Byte-level BPE over a rank file; gives the ids of the same vocabulary's tokenizer file."""
+def rank_encoder(ranks_path: str, pattern: str, special: dict[str, int] | None = None) -> Callable[[str], list[int]]:
+    """Byte-level BPE over a rank file; with the added tokens ``special`` it gives the ids of the same vocabulary's tokenizer file."""
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    special = special or {}
+    coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> list[int]:
+        if any(t in text for t in special):
+            return coder.encode(text, allowed_special="all", disallowed_special=())
+        return coder.encode_ordinary(text)
+
+    return encode
 
 
 def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], list[int]]], capacity: int = 1024, max_tails: int = MAX_TAILS) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import ann, exact, lm, mixing, neardup, packing, quality, suffix, token_counts, toxicity
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: The one added token of byte_bpe_50k.json, which the ranks do not hold.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +31,7 @@ def split_pattern() -> str:
 def encoder(path: str | None = None, pattern: str | None = None):
     """A function that builds the encoder on an executor."""
     path, pattern = path or tokenizer_file(), pattern or split_pattern()
-    return lambda: packing.rank_encoder(path, pattern)
+    return lambda: packing.rank_encoder(path, pattern, SPECIAL)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
