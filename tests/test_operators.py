@@ -153,3 +153,13 @@ def test_cards_that_are_never_cut(spark):
     for r in got:
         shown.setdefault((r.lane, r.hidden), []).append(r.card)
     assert {k: sorted(v) for k, v in shown.items()} == {("active", 0): [0, 1, 2, 3, 4], ("expedite", 0): [0, 1, 2, 3, 4], ("todo", 3): [0, 1], ("done", 0): [9]}
+
+
+def test_faults_of_links_and_parents(spark):
+    checkpoint_folder(spark)
+    links = [(1, "blocks", 2), (3, "blocked-by", 2), (3, "blocks", 1), (4, "blocks", 2), (5, "relates", 6), (6, "relates", 5), (7, "causes", 7), (1, "causes", 2), (2, "blocks", None)]
+    links += [(1, "splits", 9), (9, "split-from", 1), (8, "splits", 9), (9, "splits", 8), (1, "duplicates", 2), (2, "duplicates", 3), (5, "duplicated-by", 6), (1, "enabler-for", 10), (11, "enabled-by", 1), (1, "enabler-for", 99), (8, "superseded-by", 9), (8, "supersedes", 9)]
+    tickets = spark.createDataFrame([(1, "task", 2), (2, "task", 3), (3, "task", 1), (4, "task", 1), (5, "task", 5), (10, "story", None), (11, None, None)], "id int, type string, parent int")
+    got = {tuple(r) for r in ledger.faults(spark.createDataFrame(links, "src int, kind string, dst int"), tickets).collect()}
+    want = {("cycle", "blocks", i) for i in (1, 2, 3)} | {("cycle", "parent", i) for i in (1, 2, 3)} | {("cycle", "supersedes", i) for i in (8, 9)}
+    assert got == want | {("self", "causes", 7), ("self", "parent", 5), ("origins", "splits", 9), ("duplicate", "duplicates", 2), ("target", "enabler-for", 11), ("target", "enabler-for", 99)}

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trivium.functions.truth import YES, truth
+from trivium.operators import relation
+
 
 def blockers(links: DataFrame) -> DataFrame:
     """``ticket, blocker`` of links ``src, kind, dst``, whichever way round they are written; each once."""
@@ -26,13 +29,54 @@ def dangling(links: DataFrame, tickets: DataFrame, key: str = "id") -> DataFrame
 
 
 def topology(links: DataFrame) -> DataFrame:
-    """``problem, kind, node``: links to oneself, and targets that several origins claim."""
+    """``problem, kind, node``: links to oneself, and targets of any kind that several origins claim; :func:`faults` judges what each kind allows."""
     real = links.filter("src is not null and dst is not null").select("src", "kind", "dst").distinct()
     own = real.filter("src = dst").select(F.lit("self").alias("problem"), "kind", F.col("src").alias("node"))
     several = real.groupBy("kind", "dst").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("origins").alias("problem"), "kind", F.col("dst").alias("node"))
     return own.unionByName(several)
 
 
+# The backward spelling of each kind, and the kinds that allow no cycle.
+INVERSE = {"blocked-by": "blocks", "duplicated-by": "duplicates", "caused-by": "causes", "split-from": "splits", "spawned": "discovered-from", "enabled-by": "enabler-for", "superseded-by": "supersedes"}
+ACYCLIC = ("blocks", "causes", "discovered-from", "supersedes")
+
+
+def forward(links: DataFrame) -> DataFrame:
+    """Links ``src, kind, dst`` in the forward spelling of their kind, ``relates`` with the smaller end first; each once."""
+    real = links.filter("src is not null and dst is not null and kind is not null")
+    kind = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in INVERSE.items()), F.col("kind"))
+    turned = F.col("kind").isin(*INVERSE) | ((F.col("kind") == "relates") & (F.col("dst") < F.col("src")))
+    return real.select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), kind.alias("kind"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst")).distinct()
+
+
+def faults(links: DataFrame, tickets: DataFrame) -> DataFrame:
+    """``problem, kind, node`` of links ``src, kind, dst`` and of tickets ``id, type, parent``; parents have the kind ``parent``.
+
+    ``self``: a link to oneself; ``cycle``: on a cycle of an acyclic kind or of
+    parents, by :func:`relation.cycles`; ``origins``: split from several;
+    ``duplicate``: a duplicate that has duplicates; ``target``: enabled, but no story.
+    """
+    found = forward(links)
+    parents = tickets.filter("parent is not null").select(F.col("id").alias("src"), F.lit("parent").alias("kind"), F.col("parent").alias("dst"))
+    edges = found.unionByName(parents).distinct().checkpoint()  # read by every check
+    problem = lambda rows, name, node: rows.select(F.lit(name).alias("problem"), "kind", F.col(node).alias("node")).distinct()
+    proper = edges.filter("src <> dst")
+    # One closure for all kinds: an end is the kind and the node as one text.
+    end = lambda node: F.concat("kind", F.lit(":"), F.col(node).cast("string"))
+    bound = proper.filter(F.col("kind").isin(*ACYCLIC, "parent")).select("kind", F.col("src").alias("at"), end("src").alias("src"), end("dst").alias("dst"), truth(YES).alias("truth"))
+    rings = relation.cycles(bound.select("src", "dst", "truth")).select(F.col("node").alias("src"))
+    ringed = bound.select("kind", "at", "src").join(rings, "src", "left_semi")
+    splits = proper.filter("kind = 'splits'").groupBy("kind", "dst").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = proper.filter("kind = 'duplicates'")
+    chained = copies.join(copies.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    stories = tickets.filter("type = 'story'").select(F.col("id").alias("dst"))
+    aimless = proper.filter("kind = 'enabler-for'").join(stories, "dst", "left_anti")
+    out = problem(edges.filter("src = dst"), "self", "src")
+    for rows in (problem(ringed, "cycle", "at"), problem(splits, "origins", "dst"), problem(chained, "duplicate", "src"), problem(aimless, "target", "dst")):
+        out = out.unionByName(rows)
+    return out
+
+
 def inbox(tickets: DataFrame, triage: DataFrame, key: str, order: list[str], at: Column) -> DataFrame:
     """Tickets whose latest triage event is not a snooze (``until``) beyond ``at``."""
     last = triage.groupBy(key).agg(F.max_by("until", F.struct(*order)).alias("_until"))

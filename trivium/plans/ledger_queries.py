@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trivium.functions import text as X
 from trivium.operators import diffs, ledger, spans
 from trivium.plans.registry import query
-from trivium.sources import table
+from trivium.sources import checkpoint_folder, table
 
 #: Microseconds of a zone-less time, whatever the zone of the session.
 MICROS = "unix_micros(from_utc_timestamp(cast(ts as timestamp), current_timezone()))"
@@ -88,6 +88,34 @@ def link_topology(spark, d):
     return ledger.topology(_links(spark, d))
 
 
+#: Families of twenty customers with links of one kind, spelled either way, and parents.
+FAMILY = "c_custkey - c_custkey % 20"
+KINDS = "['blocks', 'causes', 'discovered-from', 'supersedes', 'splits', 'duplicates', 'enabler-for', 'relates']"
+BACK = "['blocked-by', 'caused-by', 'spawned', 'superseded-by', 'split-from', 'duplicated-by', 'enabled-by', 'relates']"
+LINKED = f"c_custkey AS one, {FAMILY} + (c_custkey * 7 + c_nationkey) % 20 AS other"
+PARENT = f"CASE WHEN c_nationkey % 2 = 0 THEN {FAMILY} + (c_custkey * 3 + c_nationkey) % 20 END"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT c_custkey AS id, CASE WHEN c_nationkey % 3 = 0 THEN 'story' ELSE 'task' END AS type, {PARENT} AS parent FROM customer),
+l AS (SELECT DISTINCT k AS kind, CASE WHEN k = 'relates' THEN least(one, other) ELSE one END AS src, CASE WHEN k = 'relates' THEN greatest(one, other) ELSE other END AS dst FROM (SELECT {LINKED}, {KINDS}[(c_custkey // 20) % 8 + 1] AS k FROM customer)),
+e AS (SELECT * FROM l UNION SELECT 'parent', id, parent FROM t WHERE parent IS NOT NULL), p AS (SELECT * FROM e WHERE src <> dst),
+a AS (SELECT * FROM p WHERE kind IN ('blocks', 'causes', 'discovered-from', 'supersedes', 'parent')), w AS (SELECT * FROM a UNION SELECT w.kind, w.src, a.dst FROM w JOIN a ON a.kind = w.kind AND a.src = w.dst)
+SELECT 'self' AS problem, kind, src AS node FROM e WHERE src = dst UNION SELECT 'cycle', kind, src FROM w WHERE src = dst
+UNION (SELECT 'origins', kind, dst FROM p WHERE kind = 'splits' GROUP BY kind, dst HAVING count(*) > 1)
+UNION SELECT 'duplicate', kind, src FROM p WHERE kind = 'duplicates' AND src IN (SELECT dst FROM p WHERE kind = 'duplicates')
+UNION SELECT 'target', kind, dst FROM p WHERE kind = 'enabler-for' AND dst NOT IN (SELECT id FROM t WHERE type = 'story')""")
+def link_faults(spark, d):
+    """Links and parents that break what their kind allows; every third customer writes the link from its other end."""
+    checkpoint_folder(spark)
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    tickets = customers.selectExpr("c_custkey AS id", "CASE WHEN c_nationkey % 3 = 0 THEN 'story' ELSE 'task' END AS type", f"{PARENT} AS parent")
+    at = "cast(floor(c_custkey / 20) % 8 as int) + 1"
+    names = lambda listed: f"element_at(array({listed[1:-1]}), {at})"
+    written = customers.selectExpr(LINKED.split(", ", 1)[0], LINKED.split(", ", 1)[1], "c_custkey % 3 = 0 AS turned", f"{names(KINDS)} AS ahead", f"{names(BACK)} AS back")
+    links = written.selectExpr("if(turned, other, one) AS src", "if(turned, back, ahead) AS kind", "if(turned, one, other) AS dst")
+    return ledger.faults(links, tickets)
+
+
 @query("""WITH u AS (SELECT DISTINCT user_id FROM events), e AS (SELECT user_id, arg_max(CASE WHEN event_type = 'view' THEN epoch_us(ts) ELSE 0 END, struct_pack(ts, event_id)) AS until FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id),
 c AS (SELECT epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) // 2 AS mid FROM events) SELECT user_id FROM u LEFT JOIN e USING (user_id), c WHERE until IS NULL OR until <= mid""")
 def inbox_snooze(spark, d):
