@@ -150,6 +150,14 @@ def test_nearest_recall_and_copies(spark):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) / (5 * len(want)) >= 0.9
 
 
+def test_repeated_vectors_of_a_group_take_one_place():
+    import pyarrow as pa
+
+    a, b = np.array([1.0, 0.0]).tobytes(), np.array([1.0, 1.0]).tobytes()
+    base = pa.table({"vector": [a, a, a, b], "ids": [[1, 2, 3], [1, 2, 3], [1, 2, 3], [4]], "code": [7, 8, 9, 8], "part": [0, 0, 0, 0]})
+    asked = pa.table({"query": [a, a, a], "code": [7, 8, 9], "part": [0, 0, 0]})
+    assert ann.meet(base, asked, 6).column("ids").to_pylist() == [[1, 2, 3, 4]]
+
 def test_nearest_edge_cases(spark):
     schema = "vec_id long, embedding array<double>, code long"
     rows = [(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 1.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [float("nan"), 1.0], 1), (None, [1.0, 0.5], 1), (6, [None, 1.0], 1), (50, [1.0], 1), (7, [-1.0, 0.0], 1), (7, [-1.0, 0.0], 1)]

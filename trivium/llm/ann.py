@@ -163,6 +163,32 @@ def _results(rows) -> pa.Table:
     return pa.table({"query": pa.array([q for q, _ in rows], pa.binary()), "ids": pa.array([[v for _, v in b] for _, b in rows], pa.list_(pa.int64())), "scores": pa.array([[s for s, _ in b] for _, b in rows], pa.list_(pa.float64()))})
 
 
+def meet(base: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """The k best of each query among the vectors of its cells in a group; a vector that several tables put there counts once."""
+    if not base.num_rows or not asked.num_rows:
+        return _results([])
+    ids = base.column("ids").to_pylist()
+    vectors = base.column("vector").to_pylist()
+    unit = unit_rows(vectors)[2]
+    numbers: dict[bytes, int] = {}
+    same = np.array([numbers.setdefault(v, len(numbers)) for v in vectors])
+    key = np.rec.fromarrays([base.column("code").to_numpy(), base.column("part").to_numpy()])
+    order = np.argsort(key, kind="stable")
+    sorted_key = key[order]
+    wanted = np.rec.fromarrays([asked.column("code").to_numpy(), asked.column("part").to_numpy()])
+    low, high = np.searchsorted(sorted_key, wanted), np.searchsorted(sorted_key, wanted, side="right")
+    places = defaultdict(list)
+    for q, a, b in zip(asked.column("query").to_pylist(), low, high):
+        if b > a:
+            places[q].append(order[a:b])
+    rows = []
+    for q, found in places.items():
+        found = np.concatenate(found)
+        found = found[np.unique(same[found], return_index=True)[1]]
+        rows.append((q, best(cosines(unit[found], unit_rows([q])[2]), [ids[i] for i in found], k)))
+    return _results(rows)
+
+
 def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 5, every: int = 50, tables: int = TABLES, m: int = M, width: float = WIDTH, probes: int = PROBES, seed: int = 1) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each row whose id is divisible by ``every``."""
     rows = materialise(usable(vectors, id_column, vector_column), "usable")
@@ -198,27 +224,7 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
     group = F.pmod(F.xxhash64("code", "part"), F.lit(n_groups)).alias("g")
     index, probed = index.select("*", group), probed.select("*", group)
 
-    def meet(base: pa.Table, asked: pa.Table) -> pa.Table:
-        if not base.num_rows or not asked.num_rows:
-            return _results([])
-        ids = base.column("ids").to_pylist()
-        unit = unit_rows(base.column("vector").to_pylist())[2]
-        key = np.rec.fromarrays([base.column("code").to_numpy(), base.column("part").to_numpy()])
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        wanted = np.rec.fromarrays([asked.column("code").to_numpy(), asked.column("part").to_numpy()])
-        low, high = np.searchsorted(sorted_key, wanted), np.searchsorted(sorted_key, wanted, side="right")
-        places = defaultdict(list)
-        for q, a, b in zip(asked.column("query").to_pylist(), low, high):
-            if b > a:
-                places[q].append(order[a:b])
-        rows = []
-        for q, found in places.items():
-            found = np.concatenate(found)
-            rows.append((q, best(cosines(unit[found], unit_rows([q])[2]), [ids[i] for i in found], k + 1)))
-        return _results(rows)
-
-    found = probed.groupBy("g").cogroup(index.groupBy("g")).applyInArrow(lambda p, i: meet(i, p), RESULT)
+    found = probed.groupBy("g").cogroup(index.groupBy("g")).applyInArrow(lambda p, i: meet(i, p, k + 1), RESULT)
     found = materialise(merged(found, k + 1), "found")
     short = asked.withColumnRenamed("vector", "query").join(found.filter(F.size("ids") > k), "query", "left_anti")
     rest = _exact(classes, short, k + 1)
