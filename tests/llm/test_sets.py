@@ -221,3 +221,15 @@ def test_mix_edge_cases(no_documents, odd_documents):
     assert mixing.mix(no_documents).count() == 0
     assert mixing.mix(odd_documents).count() == 5
     assert mixing.apply_mix(odd_documents).columns == odd_documents.columns
+
+
+def test_apply_mix_decides_rows_without_identifiers_one_by_one(spark):
+    rows = [(None, f"{s}{i} " * 10, None, s, 1, 2, "k") for s, n in (("a", 40), ("b", 40), ("c", 240)) for i in range(n)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = {r.source: r.target for r in mixing.mix(docs, keep=("source",)).select("source", "target").distinct().collect()}
+    got = mixing.apply_mix(docs)
+    assert got.columns == docs.columns
+    words_of = {r.source: r.n * 10 for r in got.groupBy("source").count().withColumnRenamed("count", "n").collect()}
+    assert {s: abs(words_of.get(s, 0) - w) <= 10 for s, w in want.items()} == dict.fromkeys("abc", True)
+    again = mixing.apply_mix(docs.repartition(2))
+    assert sorted(r.text for r in got.collect()) == sorted(r.text for r in again.collect())

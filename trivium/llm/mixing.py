@@ -44,7 +44,7 @@ def word_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
             size = pa.array([len(text_bytes(t).split()) for t in batch.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), size], names=[*keep, "size"])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def targets(sizes: dict, weights=WEIGHTS, most: float = 3.0) -> dict:
@@ -176,10 +176,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = 3, seed: int = 11, memb
     inside = sized.join(first, "_key").filter("_d1 = _cut_d1")
     second = cut(inside.drop("need"), first.select("_key", "need"), "_d2")
     marks = first.select("_key", "_cut_d1").join(second.select("_key", "_cut_d2", F.col("need").alias("_need")), "_key", "left")
-    marked = sized.join(plan.drop("need"), "_key", "left").join(marks, "_key", "left")
+    small = F.broadcast if keep else lambda rows: rows  # a row a pattern: rather sent than the texts shuffled
+    marked = sized.join(small(plan.drop("need")), "_key", "left").join(small(marks), "_key", "left")
     at_cut = (F.col("_d1") == F.col("_cut_d1")) & (F.col("_d2") == F.col("_cut_d2"))
     whole = (F.col("_d1") < F.col("_cut_d1")) | ((F.col("_d1") == F.col("_cut_d1")) & (F.col("_d2") < F.col("_cut_d2")))
-    last = Window.partitionBy("_key").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    # Rows that share doc_id and source share the hash: what is kept of them tells them apart, so that reruns agree.
+    last = Window.partitionBy("_key").orderBy("_hash", "doc_id", "size", *([F.xxhash64(*keep)] if keep else [])).rowsBetween(Window.unboundedPreceding, 0)
     edge = marked.filter(at_cut).withColumn("_more", (F.sum("size").over(last) - F.col("size") / 2 <= F.col("_need")))
     rest = marked.filter(~F.coalesce(at_cut, F.lit(False))).withColumn("_more", F.coalesce(whole, F.lit(False)))
     chosen = rest.unionByName(edge).withColumn("copies", F.coalesce("q", F.lit(0)) + F.col("_more").cast("long"))
@@ -187,7 +189,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = 3, seed: int = 11, memb
 
 
 def apply_mix(docs: DataFrame, weights=WEIGHTS, repeats: int = 3, seed: int = 11) -> DataFrame:
-    """The rows of ``docs`` with their columns, each as often as the mix takes it."""
-    copies = mix(docs, weights, repeats, seed).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies").dropDuplicates(["_id"])
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` with their columns, each as often as the mix takes it; rows are decided one by one, whatever their doc_id."""
+    row = docs.select("doc_id", "source", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
+    taken = mix(row, weights, repeats, seed, keep=("text", "_row")).filter("copies > 0")
+    copied = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return copied.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
