@@ -163,3 +163,8 @@ def test_faults_of_links_and_parents(spark):
     got = {tuple(r) for r in ledger.faults(spark.createDataFrame(links, "src int, kind string, dst int"), tickets).collect()}
     want = {("cycle", "blocks", i) for i in (1, 2, 3)} | {("cycle", "parent", i) for i in (1, 2, 3)} | {("cycle", "supersedes", i) for i in (8, 9)}
     assert got == want | {("self", "causes", 7), ("self", "parent", 5), ("origins", "splits", 9), ("duplicate", "duplicates", 2), ("target", "enabler-for", 11), ("target", "enabler-for", 99)}
+
+
+def test_versions_of_any_length(spark):
+    key = lambda v: X.version_key(F.lit(v))
+    assert value(spark, F.array(key("1.2.3.4.6") > key("1.2.3.4.5"), key("1.2") == key("1.2.0.0.0.0"), key("1.2.0.0.0.1") > key("1.2"), key("0.0") == key("0"), key("2") > key("1.9.9.9.9"))) == [True] * 5

@@ -114,10 +114,11 @@ def css_length(text: Column, root: float = 16.0) -> Column:
     return F.struct(kind.alias("kind"), px.alias("px"))
 
 
-def version_key(version: Column, parts: int = 4) -> Column:
-    """Numeric components padded with zeros: keys compare as versions do."""
+def version_key(version: Column) -> Column:
+    """All numeric components without the zeros at the end: keys compare as versions do."""
     numbers = F.transform(F.regexp_extract_all(version, F.lit("([0-9]+)"), 1), lambda x: x.cast("long"))
-    return F.slice(F.concat(numbers, F.array_repeat(F.lit(0).cast("long"), parts)), 1, parts)
+    used = F.array_max(F.transform(numbers, lambda x, i: F.when(x != 0, i + 1).otherwise(F.lit(0))))
+    return F.slice(numbers, F.lit(1), F.coalesce(used, F.lit(0)))
 
 
 def glob_pattern_column(glob: Column) -> Column:
