@@ -71,6 +71,29 @@ def test_components_of_a_path_and_a_cycle(spark):
     assert got == {i: 0 for i in range(21)} | {i: 30 for i in (30, 31, 32)}
 
 
+def variants(spark):
+    """Texts w and v that nothing links, a text near to w and one near to v."""
+    w, v = [f"w{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    return " ".join(w), " ".join(v), " ".join([*w, "x"]), " ".join([*v, "x"])
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (1, 0, 3, 2), (3, 2, 1, 0)])
+def test_rows_of_one_identifier_are_one_node(spark, order):
+    w, v, wx, vx = variants(spark)
+    rows = [(5, w), (5, v), (3, wx), (9, vx)]
+    docs = spark.createDataFrame([(*rows[i], 1, 2) for i in order], "doc_id long, text string, _row long, id long").repartition(1)
+    assert {(r.doc_id, r.component_id) for r in neardup.near_groups(docs, k=4).collect()} == {(5, 3), (3, 3), (9, 3)}
+
+
+def test_near_copies_go_by_rows_where_identifiers_repeat(spark):
+    w, z, wx, _ = variants(spark)
+    rows = [(5, w), (5, z), (3, wx), (None, z), (None, "alone"), (None, ""), (4, None), (4, None)]
+    docs = spark.createDataFrame([(d, t, i, "k") for i, (d, t) in enumerate(rows)], "doc_id long, text string, _row long, key string").repartition(2)
+    got = neardup.drop_near_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == sorted([(5, z), (3, wx), (-1, "alone"), (-1, ""), (4, ""), (4, "")])
+
+
 def test_near_groups_edge_cases(no_documents, odd_documents):
     assert neardup.near_groups(no_documents).count() == 0
     got = neardup.near_groups(odd_documents).collect()
@@ -233,3 +256,12 @@ def test_apply_mix_decides_rows_without_identifiers_one_by_one(spark):
     assert {s: abs(words_of.get(s, 0) - w) <= 10 for s, w in want.items()} == dict.fromkeys("abc", True)
     again = mixing.apply_mix(docs.repartition(2))
     assert sorted(r.text for r in got.collect()) == sorted(r.text for r in again.collect())
+
+
+def test_apply_mix_takes_what_mix_says_where_identifiers_and_column_names_repeat(spark):
+    rows = [(i % 7, f"w{i} " * (i % 9 + 1), "abc"[i % 3], 5, "x", 1, 2, 3) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long, _row string, size long, taken long, target long").repartition(2)
+    said = mixing.mix(docs).agg({"taken": "sum"}).first()[0]
+    got = mixing.apply_mix(docs)
+    assert got.columns == docs.columns
+    assert sum(len(r.text.split()) for r in got.collect()) == said

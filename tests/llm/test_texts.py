@@ -192,15 +192,41 @@ def test_exact_groups(documents, rows, largest):
         assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (keep, len(g), r.doc_id == keep, hashlib.sha256(t).hexdigest())
 
 
+def record_key(digest: bytes, size: int, check: int) -> bytes:
+    return digest.ljust(32, b"\0") + size.to_bytes(8, "big") + check.to_bytes(8, "big", signed=True)
+
+
 def test_merge_runs_keeps_one_verified_record():
     run = np.zeros(3, exact.RECORD)
-    run["digest"] = [b"a", b"a", b"b"]
-    run["check"] = [1, 2, 1]
+    run["key"] = [record_key(b"a", 0, 1), record_key(b"a", 0, 2), record_key(b"b", 0, 1)]
     run["id"], run["has_id"], run["rows"] = [5, 6, 7], 1, 1
     merged = exact.merge_runs([run, run], largest=False)
     assert merged["rows"].tolist() == [2, 2, 2]  # equal digests with unequal checks stay apart
 
 
+@pytest.mark.parametrize("largest", [False, True])
+def test_merge_of_sorted_runs_equals_one_sort(largest):
+    rng = np.random.default_rng(4)
+    for n_runs in range(1, 8):
+        rows = np.zeros(400, exact.RECORD)
+        rows["key"] = [record_key(bytes([d, 0, d]), 3, -c) for d, c in zip(rng.integers(0, 40, 400), rng.integers(0, 3, 400))]
+        rows["id"], rows["has_id"], rows["row"], rows["rows"] = rng.integers(-5, 5, 400), rng.integers(0, 2, 400), rng.permutation(400), 1
+        rows["id"] *= rows["has_id"]
+        runs = [exact.sorted_run(p, largest) for p in np.array_split(rows, n_runs)]
+        assert exact.merge_runs(runs, largest).tolist() == exact.sorted_run(rows, largest).tolist()
+    assert len(exact.merge_runs([], largest)) == 0
+
+
+def test_exact_copies_go_by_rows_where_identifiers_repeat(spark):
+    texts = [(5, "A"), (5, "b"), (5, "a"), (7, "a"), (None, "b"), (None, "c"), (None, "C"), (9, None), (9, "")]
+    schema = "doc_id long, text string, row long, _row long, digest string, keep_row long, size long"
+    docs = spark.createDataFrame([(d, t, 1, i, "x", 2, 3) for i, (d, t) in enumerate(texts)], schema).repartition(3)
+    got = exact.drop_exact_copies(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id or -1, (r.text or "").lower()) for r in got.collect())
+    assert kept == [(-1, "c"), (5, "b"), (7, "a"), (9, "")]
+
+
 def test_exact_dedup_edge_cases(no_documents, odd_documents):
     assert exact.exact_groups(no_documents).count() == 0
     got = exact.exact_groups(odd_documents).collect()

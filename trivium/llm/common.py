@@ -12,6 +12,9 @@ import ctypes
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +45,13 @@ def fold_column(doc_id, modulus: int):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a local one is set only where none is configured."""
+    """The shared checkpoint folder of the session; a local one is set only where none is configured and the master is local."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="trivium-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -54,16 +59,74 @@ def shared_folder(spark: SparkSession) -> str:
     return configured
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Folders of the tables that the current :func:`scratch` block has written.
+_written: ContextVar[list | None] = ContextVar("_written", default=None)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that :func:`materialise` wrote within it; nothing that is read later may rest on them."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        for folder in _written.get():
+            _delete(spark, folder)
+        _written.reset(token)
+
+
+def materialise(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage and survives the loss of executors: later reads go to the
-    shared files, not to blocks held by one executor.
+    shared files, not to blocks held by one executor.  ``stays``: a
+    :func:`scratch` block leaves it in place.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/trivium-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_folder(spark)}/trivium-{uuid.uuid4().hex}"
+    if not stays and _written.get() is not None:
+        _written.get().append(folder)
+    df.write.parquet(f"{folder}/{name}")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out._trivium_folder = folder
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that :func:`materialise` wrote and that nothing reads any more."""
+    _delete(table.sparkSession, table._trivium_folder)
+
+
+def _reads_alike(docs: DataFrame) -> bool:
+    """Does ``docs`` read files (or cached rows) and nothing else than choose rows and columns of them?"""
+    nodes = [docs._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in ("Project", "Filter", "LogicalRelation", "InMemoryRelation"):
+            return False
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return True
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number that tells its rows apart, and the name of that column, which ``docs`` does not have.
+
+    The number is the row's partition and place in it, which stay the same
+    however often files are read and whichever columns; rows that come from
+    anything else are written to the shared folder first.
+    """
+    name = "_row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    if not _reads_alike(docs):
+        docs = materialise(docs, "rows")
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
 def release_memory() -> None:

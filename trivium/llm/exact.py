@@ -3,12 +3,13 @@
 Every task digests its texts (SHA-256 of the text after lower-casing A-Z),
 cuts the digests by their leading bits into slices and writes each slice as a
 run: records sorted by digest, one for each distinct text, with the retained
-identifier and the number of rows.  Runs then meet in binomial rounds: in a
-round, the runs of 2**fan_bits neighbouring partitions are exchanged and
-merged multiway (fan_bits binomial levels at once), each level retaining one
-verified identifier a text.  Verification compares byte length and a second,
-independent 64-bit hash besides the digest.  After the last round each slice
-has one run; its entries are joined to the documents on the digest.
+row and the number of rows.  Runs then meet in binomial rounds: in a round,
+the runs of 2**fan_bits neighbouring partitions are exchanged and merged in a
+tournament of two-way merges, which never sort again; where two runs hold the
+same text, its record with the retained identifier stays, at every level.
+Verification compares byte length and a second, independent 64-bit hash
+besides the digest.  After the last round each slice has one run; its entries
+are joined to the documents on the digest.
 
 A text that makes up a third of all rows is one record a run, so no task sees
 its copies; in the last join Spark splits such a digest (adaptive skew join).
@@ -16,8 +17,10 @@ The number of slices follows the number of rows, so a run stays small.
 
 Edge cases: null texts are empty texts and equal to them; a null doc_id is
 retained only where a group has no other; rows that repeat a doc_id count as
-members of their group, and all rows that carry the retained doc_id are kept;
-an empty table gives an empty result; extra columns are ignored.
+members of their group.  :func:`exact_groups` marks every row of a group that
+carries the retained doc_id as kept; :func:`drop_exact_copies` goes by rows
+and keeps exactly one of each group, whatever repeats its doc_id.  An empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,30 +35,67 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import power_of_two_at_least, release_memory, rows_of, text_bytes
+from .common import numbered, power_of_two_at_least, release_memory, rows_of, text_bytes
 
-RECORD = np.dtype([("digest", "S32"), ("size", "<i8"), ("check", "<u8"), ("id", "<i8"), ("has_id", "<i1"), ("rows", "<i8")])
+KEY = 32 + 8 + 8  # digest, size and check, compared as bytes
+RECORD = np.dtype([("key", f"S{KEY}"), ("id", "<i8"), ("has_id", "<i1"), ("row", "<i8"), ("rows", "<i8")])
 RECORDS_A_RUN = 500_000
 
 
+def _better(a: np.ndarray, b: np.ndarray, largest: bool) -> np.ndarray:
+    """Where the row of ``b`` is retained rather than that of ``a``: by identifier, then by the place of the row."""
+    nearer = b["id"] > a["id"] if largest else b["id"] < a["id"]
+    same = (a["has_id"] == b["has_id"]) & (a["id"] == b["id"])
+    return (b["has_id"] > a["has_id"]) | ((a["has_id"] == b["has_id"]) & nearer) | (same & (b["row"] < a["row"]))
+
+
+def merge_two(a: np.ndarray, b: np.ndarray, largest: bool) -> np.ndarray:
+    """Merge two sorted runs of distinct texts into one; of a text that both hold one record stays, with all rows."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b):
+        return a
+    at = np.searchsorted(a["key"], b["key"])
+    both = a["key"][np.minimum(at, len(a) - 1)] == b["key"]
+    if both.any():
+        a = a.copy()
+        held, come = a[at[both]], b[both]
+        rows = held["rows"] + come["rows"]
+        taken = _better(held, come, largest)
+        held[taken] = come[taken]
+        held["rows"] = rows
+        a[at[both]] = held
+    # Each run's records go, in their order, to the places that the other leaves.
+    new = b[~both]
+    places = at[~both] + np.arange(len(new))
+    out = np.empty(len(a) + len(new), RECORD)
+    old = np.ones(len(out), bool)
+    old[places] = False
+    out[places], out[old] = new, a
+    return out
+
+
 def merge_runs(runs: list[np.ndarray], largest: bool) -> np.ndarray:
-    """Merge sorted runs; of equal verified texts one record stays, with the retained id and all rows."""
-    rows = np.concatenate(runs)
-    ids = rows["id"] if not largest else -1 - rows["id"]
-    order = np.lexsort((ids, 1 - rows["has_id"], rows["check"], rows["size"], rows["digest"]))
-    rows = rows[order]
+    """Merge sorted runs multiway: in each round of the tournament neighbours merge."""
+    while len(runs) > 1:
+        runs = [merge_two(*runs[i : i + 2], largest) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    return runs[0] if runs else np.zeros(0, RECORD)
+
+
+def sorted_run(records: np.ndarray, largest: bool) -> np.ndarray:
+    """The run of unordered records: sorted, one record for each text."""
+    ids = records["id"] if not largest else -1 - records["id"]
+    rows = records[np.lexsort((records["row"], ids, 1 - records["has_id"], records["key"]))]
     if not len(rows):
         return rows
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows["digest"][1:] != rows["digest"][:-1]) | (rows["size"][1:] != rows["size"][:-1]) | (rows["check"][1:] != rows["check"][:-1])
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
     out = rows[first].copy()
     out["rows"] = np.add.reduceat(rows["rows"], first)
     return out
 
 
-def digest_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, digest, size, check`` of every row."""
+def digest_rows(docs: DataFrame, row: str) -> DataFrame:
+    """``doc_id, row, digest, size, check`` of every row; ``row`` names the column that numbers them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,26 +106,33 @@ def digest_rows(docs: DataFrame) -> DataFrame:
                 digests.append(hashlib.sha256(normal).digest())
                 sizes.append(len(normal))
                 checks.append(xxhash.xxh3_64_intdigest(normal))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(checks, pa.uint64()).view(pa.int64())], names=["doc_id", "digest", "size", "check"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(row), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(checks, pa.uint64()).view(pa.int64())], names=["doc_id", "row", "digest", "size", "check"])
         release_memory()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, size long, check long")
+    return docs.select("doc_id", "text", row).mapInArrow(run, "doc_id long, row long, digest binary, size long, check long")
 
 
 def _to_records(batch) -> np.ndarray:
     out = np.zeros(batch.num_rows, RECORD)
-    out["digest"] = batch.column("digest").to_pylist()
-    out["size"] = batch.column("size").to_numpy(zero_copy_only=False)
-    out["check"] = batch.column("check").to_numpy(zero_copy_only=False).view(np.uint64)
+    numbers = [batch.column(c).to_numpy(zero_copy_only=False).astype(">i8").tobytes() for c in ("size", "check")]
+    size, check = ([x[i : i + 8] for i in range(0, len(x), 8)] for x in numbers)
+    out["key"] = [d + n + c for d, n, c in zip(batch.column("digest").to_pylist(), size, check)]
     ids = batch.column("doc_id")
     out["has_id"] = ids.is_valid().to_numpy(zero_copy_only=False)
     out["id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    out["row"] = batch.column("row").to_numpy(zero_copy_only=False)
     out["rows"] = 1
     return out
 
 
-def merged_texts(digests: DataFrame, slices: int, largest: bool = True, fan_bits: int = 4, levels: int = 16) -> DataFrame:
-    """One row for each distinct text: ``digest, size, check, keep_id, group_size``.
+def _key_parts(run: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    raw = np.ascontiguousarray(run["key"]).tobytes()
+    numbers = np.frombuffer(raw, np.uint8).reshape(-1, KEY)[:, 32:].copy().view(">i8").astype(np.int64).reshape(-1, 2)
+    return [raw[i : i + 32] for i in range(0, len(raw), KEY)], numbers[:, 0], numbers[:, 1]
+
+
+def merged_texts(digests: DataFrame, slices: int, largest: bool = True, fan_bits: int = 4, levels: int = 12) -> DataFrame:
+    """One row for each distinct text: ``digest, size, check, keep_id, keep_row, group_size``.
 
     ``levels`` is the number of binomial levels (2**levels partitions can be
     told apart; further ones share a slot), ``fan_bits`` how many of them a
@@ -97,8 +144,8 @@ def merged_texts(digests: DataFrame, slices: int, largest: bool = True, fan_bits
         held, n = [], 0
 
         def emit():
-            run = merge_runs(held, largest)
-            at = np.array([int.from_bytes(d.ljust(4, b"\0")[:4], "big") for d in run["digest"].tolist()], np.int64) * slices >> 32
+            run = sorted_run(np.concatenate(held), largest)
+            at = np.ascontiguousarray(run["key"]).view(np.uint8).reshape(-1, KEY)[:, :4].copy().view(">u4").astype(np.int64).ravel() * slices >> 32
             cuts = np.flatnonzero(np.diff(at)) + 1
             parts = np.split(run, cuts)
             parts = [p for p in parts if len(p)]
@@ -126,34 +173,33 @@ def merged_texts(digests: DataFrame, slices: int, largest: bool = True, fan_bits
         for batch in batches:
             for blob in batch.column("run").to_pylist():
                 run = np.frombuffer(blob, RECORD)
+                digests, sizes, checks = _key_parts(run)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([d.ljust(32, b"\0") for d in run["digest"].tolist()], pa.binary()),
-                        pa.array(run["size"].copy(), pa.int64()),
-                        pa.array(run["check"].copy().view(np.int64), pa.int64()),
-                        pa.array(run["id"].copy(), pa.int64(), mask=run["has_id"] == 0),
-                        pa.array(run["rows"].copy(), pa.int64()),
-                    ],
-                    names=["digest", "size", "check", "keep_id", "group_size"],
+                    [pa.array(digests, pa.binary()), pa.array(sizes), pa.array(checks), pa.array(run["id"].copy(), pa.int64(), mask=run["has_id"] == 0), pa.array(run["row"].copy()), pa.array(run["rows"].copy())],
+                    names=["digest", "size", "check", "keep_id", "keep_row", "group_size"],
                 )
 
     schema = "slice long, slot long, run binary"
     runs = digests.mapInArrow(leaf, schema)
     for _ in range(-(-levels // fan_bits)):
         runs = runs.withColumn("slot", F.shiftright("slot", fan_bits)).groupBy("slice", "slot").applyInArrow(merge, schema)
-    return runs.mapInArrow(spread, "digest binary, size long, check long, keep_id long, group_size long")
+    return runs.mapInArrow(spread, "digest binary, size long, check long, keep_id long, keep_row long, group_size long")
+
+
+def _slices(docs: DataFrame) -> int:
+    return power_of_two_at_least(max(64, docs.count() / RECORDS_A_RUN))
 
 
-def exact_groups(docs: DataFrame, largest: bool = True, fan_bits: int = 8) -> DataFrame:
+def exact_groups(docs: DataFrame, largest: bool = True, fan_bits: int = 4) -> DataFrame:
     """One row a document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-    slices = power_of_two_at_least(max(64, docs.count() / RECORDS_A_RUN))
-    digests = digest_rows(docs)
-    texts = merged_texts(digests, slices, largest, fan_bits)
-    joined = digests.alias("d").join(texts.alias("t"), ["digest", "size", "check"])
+    digests = digest_rows(*numbered(docs.select("doc_id", "text")))
+    texts = merged_texts(digests, _slices(docs), largest, fan_bits)
+    joined = digests.drop("row").alias("d").join(texts.alias("t"), ["digest", "size", "check"])
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame, largest: bool = True) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_groups` keeps, with their columns."""
-    keep = exact_groups(docs, largest).filter("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+def drop_exact_copies(docs: DataFrame, largest: bool = True, fan_bits: int = 4) -> DataFrame:
+    """The rows of ``docs`` with their columns, one of each group of equal texts: that of the retained doc_id, the first of several such."""
+    rows, row = numbered(docs)
+    texts = merged_texts(digest_rows(rows, row), _slices(docs), largest, fan_bits)
+    return rows.join(texts.select(F.col("keep_row").alias(row)), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -29,11 +29,17 @@ With the default 32 bands of 4 rows, a pair at similarity 0.8 misses all
 bands with probability 5e-8.  Components are found by alternating large-star
 and small-star until nothing changes.
 
+The nodes are rows, told apart by a number, so that what repeats a doc_id is
+compared with its own text.  :func:`near_groups` then joins the classes that
+share a doc_id, which makes such rows one node.  :func:`drop_near_copies`
+decides rows by their texts alone and keeps one row of each component.
+
 Edge cases: documents without words have no shingle, are linked with nothing
 and are their own component; with fewer than ``k`` words the whole sequence is
-the one shingle; a null doc_id is linked with nothing, its component is null
-and it is kept; rows that repeat a doc_id are one node; an empty table gives
-an empty result; extra columns are ignored.
+the one shingle; in :func:`near_groups` a null doc_id is linked with nothing,
+its component is null and it is kept, in :func:`drop_near_copies` it is kept
+where its component has no other; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,9 +52,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix64, words
+from .common import U64, discard, materialise, mix64, numbered, words
 
-SKETCH_SCHEMA = "doc_id long, key binary, n_shingles long, bits0 long, bits1 long, bands array<long>"
+SKETCH_SCHEMA = "id long, doc_id long, key binary, n_shingles long, bits0 long, bits1 long, bands array<long>"
 PRIME = U64(0x9E3779B97F4A7C15)
 PART = 1024  # members of a bucket that one block of a task holds
 PARTNERS = 8
@@ -89,7 +95,8 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best
 
 
-def sketches(docs: DataFrame, k: int, bands: int, rows: int, seed: int = 7) -> DataFrame:
+def sketches(docs: DataFrame, row: str, k: int, bands: int, rows: int, seed: int = 7) -> DataFrame:
+    """``id`` (the number of the row, named ``row`` in ``docs``), ``doc_id``, ``key`` of the word sequence, ``n_shingles``, signature and band keys."""
     if bands * rows != 128:
         raise ValueError("bands * rows must be 128, the length of the signature")
 
@@ -119,6 +126,7 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int, seed: int = 7) -> D
                 found.append(band.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column(row),
                     batch.column("doc_id").cast(pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array(sizes, pa.int64()),
@@ -126,20 +134,20 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int, seed: int = 7) -> D
                     pa.array([x[1] for x in bits], pa.int64()),
                     pa.array(found, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "n_shingles", "bits0", "bits1", "bands"],
+                names=["id", "doc_id", "key", "n_shingles", "bits0", "bits1", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH_SCHEMA)
+    return docs.select(row, "doc_id", "text").mapInArrow(run, SKETCH_SCHEMA)
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, row: str, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             blobs = [shingle_set(words(t), k, hashes).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(blobs, pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(row), pa.array(blobs, pa.binary())], names=["id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
+    return docs.select(row, "text").mapInArrow(run, "id long, shingles binary")
 
 
 def shingle_rows(sets: DataFrame) -> DataFrame:
@@ -223,7 +231,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = _fingerprint(now)
     while before[0]:
-        now = materialise(small(large(now)), "edges")
+        last, now = now, materialise(small(large(now)), "edges")
+        discard(last)
         after = _fingerprint(now)
         if after == before:
             break
@@ -295,17 +304,21 @@ def partners(rows: DataFrame, percent: int, take: int) -> DataFrame:
     return rows.withColumn("_g", spread).withColumn("_g", F.pmod("_g", F.lit(4 * n))).groupBy("_g").applyInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
-    """One row a document: ``doc_id, n_shingles, component_id, kept``."""
-    sketch = materialise(sketches(docs, k, bands, rows), "sketches")
-    named = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = materialise(named.join(classes.select(F.col("rep").alias("doc_id"), F.col("key")), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]), "representatives")
+def near_classes(docs: DataFrame, row: str, k: int, percent: int, bands: int, rows: int, unnamed: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sketches of all rows; ``key, rep`` of each class of equal word sequences; the links (a, b) between representatives and their components.
 
-    member = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    ``row`` names the column of ``docs`` that numbers its rows; those without
+    a doc_id take part only if ``unnamed``.
+    """
+    sketch = materialise(sketches(docs, row, k, bands, rows), "sketches")
+    named = sketch.filter("n_shingles > 0" if unnamed else "n_shingles > 0 and doc_id is not null")
+    classes = named.groupBy("key").agg(F.min("id").alias("rep"))
+    reps = materialise(named.drop("doc_id", "key").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "representatives")
+
+    member = reps.select("id", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("g"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket", "g")
     member = materialise(member.join(shared, "bucket"), "buckets")
-    sets = materialise(shingle_sets(docs.join(member.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
+    sets = materialise(shingle_sets(docs.join(member.select(F.col("id").alias(row)).distinct(), row, "left_semi"), row, k), "sets")
 
     # First: one centre a document.
     degree = member.groupBy("id").agg(F.sum("g").alias("degree"))
@@ -316,11 +329,11 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32,
     component = connected_components(links)
 
     # Then: what separates the components that still share a bucket.
-    rows = open_rows(member, component, reps.select(F.col("doc_id").alias("id"), "bits0", "bits1"), True).select("id").distinct()
-    tokens = shingle_rows(sets.join(rows, "id", "left_semi"))
+    open_ids = open_rows(member, component, reps.select("id", "bits0", "bits1"), True).select("id").distinct()
+    tokens = shingle_rows(sets.join(open_ids, "id", "left_semi"))
     common = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     ranked = tokens.join(common, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("order"))
-    ranked = reps.select(F.col("doc_id").alias("id"), "n_shingles", "bits0", "bits1").join(ranked, "id").withColumn("shared", F.size("order"))
+    ranked = reps.select("id", "n_shingles", "bits0", "bits1").join(ranked, "id").withColumn("shared", F.size("order"))
     prefix = F.col("shared") - F.floor((percent * F.col("n_shingles") + 99) / 100) + 1
     ranked = materialise(ranked.withColumn("prefix", prefix.cast("int")).filter("prefix > 0").withColumn("order", F.expr("slice(order, 1, prefix)")), "ranked")
     bits = materialise(bitmaps(sets.join(ranked.select("id"), "id", "left_semi")).join(ranked.drop("order", "prefix"), "id"), "bits")
@@ -338,13 +351,45 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32,
                 break
             take *= 8
         everywhere = True
+    return sketch, classes, links, component
+
 
-    of_class = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+def class_components(classes: DataFrame, component: DataFrame) -> DataFrame:
+    """``classes`` with ``c``, the least representative that links reach."""
+    return classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+
+
+def same_documents(sketch: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links between the classes that rows of one doc_id belong to; None if no doc_id has several."""
+    named = sketch.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "key")
+    mark = F.xxhash64("key")
+    several = named.groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo < hi").select("doc_id")
+    if several.isEmpty():
+        return None
+    of = named.join(several, "doc_id", "left_semi").join(classes.select("key", "rep"), "key").select("doc_id", "rep").distinct()
+    return of.join(of.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").filter("rep > a").select("a", F.col("rep").alias("b"))
+
+
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+    """One row a document: ``doc_id, n_shingles, component_id, kept``."""
+    docs, row = numbered(docs.select("doc_id", "text"))
+    sketch, classes, links, component = near_classes(docs, row, k, percent, bands, rows, unnamed=False)
+    same = same_documents(sketch, classes)
+    if same is not None:
+        component = connected_components(links.unionByName(same))
+    least = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.min("doc_id").alias("least"))
+    of_class = class_components(least, component)
+    of_class = of_class.join(of_class.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("key", "component_id")
     out = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(of_class, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_groups` keeps, with their columns."""
-    keep = near_groups(docs, k, percent).filter("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+    """The rows of ``docs`` with their columns, one of each component: that of the smallest doc_id, the first of several such."""
+    docs, row = numbered(docs)
+    sketch, _, _, component = near_classes(docs, row, k, percent, bands, rows, unnamed=True)
+    named = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "id")
+    best = sketch.filter("n_shingles > 0").groupBy("key").agg(F.min("id").alias("rep"), F.min(named).alias("best"))
+    keep = class_components(best, component).groupBy("c").agg(F.min("best").alias("best")).select(F.col("best.id").alias(row))
+    keep = keep.unionByName(sketch.filter("n_shingles = 0").select(F.col("id").alias(row)))
+    return docs.join(keep, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns if c != row))
