@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trivium.llm import exact, mixing, neardup, packing, toxicity
-from trivium.llm.common import materialise
+from trivium.llm.common import discard, materialise, scratch
 from trivium.llm.queries import encoder
 
 #: SQL cannot express the classifier, the shingle links or the packing; tests/llm compares with brute force.
@@ -21,6 +21,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """By shingles of five words, the general rule; op9 takes four, as its contract says."""
     return neardup.drop_near_copies(docs)
 
 
@@ -42,8 +43,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written and read again before the next."""
+    """All stages over the documents; each is written and read again before the next, and what a stage is done with is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            kept = materialise(stage(spark, docs, sf_dir), name, stays=True)
+        if i:
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
