@@ -80,14 +80,20 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _written.reset(token)
 
 
-def materialise(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+ROWS_A_FILE = 50_000
+
+
+def materialise(df: DataFrame, name: str, stays: bool = False, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage and survives the loss of executors: later reads go to the
     shared files, not to blocks held by one executor.  ``stays``: a
-    :func:`scratch` block leaves it in place.
+    :func:`scratch` block leaves it in place.  ``rows``: about how many there
+    are, which keeps a small table from many files; every core still writes one.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
     folder = f"{shared_folder(spark)}/trivium-{uuid.uuid4().hex}"
     if not stays and _written.get() is not None:
         _written.get().append(folder)

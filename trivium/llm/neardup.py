@@ -228,10 +228,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", rows=edges.count())
     before = _fingerprint(now)
     while before[0]:
-        last, now = now, materialise(small(large(now)), "edges")
+        last, now = now, materialise(small(large(now)), "edges", rows=before[0])
         discard(last)
         after = _fingerprint(now)
         if after == before:
@@ -313,19 +313,20 @@ def near_classes(docs: DataFrame, row: str, k: int, percent: int, bands: int, ro
     sketch = materialise(sketches(docs, row, k, bands, rows), "sketches")
     named = sketch.filter("n_shingles > 0" if unnamed else "n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("key").agg(F.min("id").alias("rep"))
-    reps = materialise(named.drop("doc_id", "key").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "representatives")
+    reps = materialise(named.drop("doc_id", "key").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "representatives", rows=sketch.count())
+    n = reps.count()
 
     member = reps.select("id", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("g"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket", "g")
-    member = materialise(member.join(shared, "bucket"), "buckets")
-    sets = materialise(shingle_sets(docs.join(member.select(F.col("id").alias(row)).distinct(), row, "left_semi"), row, k), "sets")
+    member = materialise(member.join(shared, "bucket"), "buckets", rows=n)
+    sets = materialise(shingle_sets(docs.join(member.select(F.col("id").alias(row)).distinct(), row, "left_semi"), row, k), "sets", rows=4 * n)
 
     # First: one centre a document.
     degree = member.groupBy("id").agg(F.sum("g").alias("degree"))
     centre = member.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("low"))).alias("top")).select("bucket", (-F.col("top.low")).alias("a"))
     shares = member.join(centre, "bucket").filter("id <> a").groupBy("id", "a").agg(F.count(F.lit(1)).alias("shared"))
     pairs = shares.groupBy("id").agg(F.max(F.struct("shared", (-F.col("a")).alias("low"))).alias("top")).select((-F.col("top.low")).alias("a"), F.col("id").alias("b"))
-    links = materialise(verified(pairs, sets, percent), "links")
+    links = materialise(verified(pairs, sets, percent), "links", rows=4 * n)
     component = connected_components(links)
 
     # Then: what separates the components that still share a bucket.
@@ -335,14 +336,14 @@ def near_classes(docs: DataFrame, row: str, k: int, percent: int, bands: int, ro
     ranked = tokens.join(common, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("order"))
     ranked = reps.select("id", "n_shingles", "bits0", "bits1").join(ranked, "id").withColumn("shared", F.size("order"))
     prefix = F.col("shared") - F.floor((percent * F.col("n_shingles") + 99) / 100) + 1
-    ranked = materialise(ranked.withColumn("prefix", prefix.cast("int")).filter("prefix > 0").withColumn("order", F.expr("slice(order, 1, prefix)")), "ranked")
-    bits = materialise(bitmaps(sets.join(ranked.select("id"), "id", "left_semi")).join(ranked.drop("order", "prefix"), "id"), "bits")
+    ranked = materialise(ranked.withColumn("prefix", prefix.cast("int")).filter("prefix > 0").withColumn("order", F.expr("slice(order, 1, prefix)")), "ranked", rows=4 * n)
+    bits = materialise(bitmaps(sets.join(ranked.select("id"), "id", "left_semi")).join(ranked.drop("order", "prefix"), "id"), "bits", rows=n)
     member = ranked.select("id", F.explode("order.s").alias("bucket"))
     take, everywhere = PARTNERS, False
     while True:
         open_ = open_rows(member, component, bits, everywhere)
         found = materialise(partners(open_, percent, take), "partners")
-        more = materialise(verified(found.filter("a is not null").select("a", "b").distinct(), sets, percent), "links")
+        more = materialise(verified(found.filter("a is not null").select("a", "b").distinct(), sets, percent), "links", rows=4 * found.count())
         if more.limit(1).count():
             links = links.unionByName(more)
             component = connected_components(links)
