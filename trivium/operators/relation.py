@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,24 +35,45 @@ def compose(left: DataFrame, right: DataFrame) -> DataFrame:
     return strongest(rows)
 
 
-def _pairs(edges: DataFrame, steps: int | None) -> DataFrame:
-    """Pairs joined by a path of one to ``steps`` edges; semi-naive, each round extends new pairs only.
+#: Rounds after which the found pairs are written together.
+COMPACT = 8
+
+
+def _extend(frontier: DataFrame, step, keys: list[str], steps: int | None) -> DataFrame:
+    """Everything that ``step`` reaches from ``frontier`` in rounds, semi-naive: a round extends new rows only and writes them only.
 
-    Lineage is cut by a reliable checkpoint each round; the loop ends when a
-    round finds nothing new.
+    Lineage is cut by a reliable checkpoint each round; the parts found so far
+    are put together every ``COMPACT`` rounds.  The loop ends when a round finds nothing new.
     """
-    edges = edges.select(*PAIR).distinct()
-    known = frontier = edges.checkpoint()
-    done = 1
+    frontier = frontier.select(*keys).distinct().checkpoint()
+    parts, done = [frontier], 0
     while steps is None or done < steps:
-        f, e = frontier.alias("f"), edges.alias("e")
-        reached = f.join(e, F.col("f.dst") == F.col("e.src")).select(F.col("f.src").alias("src"), F.col("e.dst").alias("dst")).distinct()
-        frontier = reached.join(known, list(PAIR), "left_anti").checkpoint()
+        reached = step(frontier).select(*keys).distinct()
+        for part in parts:
+            reached = reached.join(part, keys, "left_anti")
+        frontier = reached.checkpoint()
         if frontier.isEmpty():
             break
-        known = known.unionByName(frontier).checkpoint()
+        parts.append(frontier)
         done += 1
-    return known
+        if len(parts) > COMPACT:
+            parts = [reduce(DataFrame.unionByName, parts).checkpoint()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _pairs(edges: DataFrame, steps: int | None) -> DataFrame:
+    """Pairs joined by a path of one to ``steps`` edges."""
+    edges = edges.select(*PAIR).distinct().checkpoint()
+    e = edges.alias("e")
+    step = lambda rows: rows.alias("f").join(e, F.col("f.dst") == F.col("e.src")).select(F.col("f.src").alias("src"), F.col("e.dst").alias("dst"))
+    return _extend(edges, step, list(PAIR), None if steps is None else steps - 1)
+
+
+def reach_pairs(seeds: DataFrame, edges: DataFrame, steps: int | None = None) -> DataFrame:
+    """``seed, node`` that the edges reach from the given ones, these included."""
+    e = edges.select(*PAIR).distinct().checkpoint().alias("e")
+    step = lambda rows: rows.alias("f").join(e, F.col("f.node") == F.col("e.src")).select("seed", F.col("e.dst").alias("node"))
+    return _extend(seeds, step, ["seed", "node"], steps)
 
 
 def reaches(relation: DataFrame, steps: int | None = None) -> DataFrame:
@@ -62,24 +85,63 @@ def reaches(relation: DataFrame, steps: int | None = None) -> DataFrame:
     return union(certain, possible)
 
 
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """``node, ring`` of nodes on a cycle; a ring is the strongly connected part, named by its greatest node.
+
+    No pairs are built.  Nodes without an edge in and an edge out are trimmed;
+    every node is coloured with the greatest node that reaches it; what walks
+    back to a colour's own node within the colour is its ring.  Rings leave and
+    the rest begins anew, until nothing is left.
+    """
+    found: list[DataFrame] = []
+    loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct()
+    left = edges.select(*PAIR).filter("src <> dst").distinct().checkpoint()
+    n = left.count()
+    while n:
+        while True:  # trim, as long as it takes off much: the rest is coloured away
+            before = n
+            left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select(*PAIR).checkpoint()
+            n = left.count()
+            if n > 0.9 * before:
+                break
+        if not n:
+            break
+        colour = left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")).checkpoint()
+        while True:
+            best = left.join(colour, left["src"] == colour["node"]).groupBy("dst").agg(F.max("colour").alias("come"))
+            new = colour.join(best, colour["node"] == best["dst"], "left").select("node", F.greatest("colour", "come").alias("colour"), F.coalesce(F.col("come") > F.col("colour"), F.lit(False)).alias("moved")).checkpoint()
+            colour = new.select("node", "colour")
+            if new.filter("moved").isEmpty():
+                break
+        of = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias(f"_{end}"))
+        within = left.join(of("src"), "src").join(of("dst"), "dst").filter("_src = _dst").select(*PAIR).checkpoint()
+        roots = colour.filter("node = colour").select("node")
+        back = reach_from(roots, within.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        ring = colour.join(back, "node", "left_semi").select("node", F.col("colour").alias("ring")).checkpoint()
+        found.append(ring)
+        # No ring spans two colours, so only edges within one go on.
+        left = within.join(ring.select(F.col("node").alias("src")), "src", "left_anti").join(ring.select(F.col("node").alias("dst")), "dst", "left_anti").select(*PAIR).checkpoint()
+        n = left.count()
+    if not found:
+        return loops.withColumn("ring", F.col("node"))
+    rings = reduce(DataFrame.unionByName, found)
+    size = rings.groupBy("ring").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ring")
+    several = rings.join(size, "ring", "left_semi").select("node", "ring")
+    return several.unionByName(loops.join(several, "node", "left_anti").withColumn("ring", F.col("node")))
+
+
 def cycles(relation: DataFrame) -> DataFrame:
-    """Nodes on a cycle with the truth of being on one."""
-    return reaches(relation).filter("src = dst").select(F.col("src").alias("node"), "truth")
+    """Nodes on a cycle with the truth of being on one: certain if certain edges alone make one."""
+    certain = on_cycles(relation.filter(F.col("truth") == YES)).select("node", truth(YES).alias("truth"))
+    possible = on_cycles(relation.filter(F.col("truth") > 0)).select("node", truth(UNKNOWN).alias("truth"))
+    return certain.unionByName(possible.join(certain, "node", "left_anti"))
 
 
 def reach_from(seeds: DataFrame, edges: DataFrame, steps: int | None = None, node: str = "node") -> DataFrame:
     """Nodes that the seeds reach, themselves included: only nodes are carried, never pairs."""
     edges = edges.select(*PAIR).distinct().checkpoint()
-    known = frontier = seeds.select(F.col(node)).distinct().checkpoint()
-    done = 0
-    while steps is None or done < steps:
-        reached = edges.join(frontier, edges["src"] == frontier[node], "left_semi").select(F.col("dst").alias(node)).distinct()
-        frontier = reached.join(known, node, "left_anti").checkpoint()
-        if frontier.isEmpty():
-            break
-        known = known.unionByName(frontier).checkpoint()
-        done += 1
-    return known
+    step = lambda rows: edges.join(rows, edges["src"] == rows[node], "left_semi").select(F.col("dst").alias(node))
+    return _extend(seeds, step, [node], steps)
 
 
 def covered_by(subjects: DataFrame, seeds: DataFrame, relation: DataFrame, steps: int | None = None, node: str = "node") -> DataFrame:
@@ -87,3 +149,50 @@ def covered_by(subjects: DataFrame, seeds: DataFrame, relation: DataFrame, steps
     sure = reach_from(seeds, relation.filter(F.col("truth") == YES), steps, node).withColumn("lo", F.lit(1).cast("long"))
     maybe = reach_from(seeds, relation.filter(F.col("truth") > 0), steps, node).withColumn("hi", F.lit(1).cast("long"))
     return subjects.join(sure, node, "left").join(maybe, node, "left").fillna(0, ["lo", "hi"])
+
+
+def first_doubt(sure: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, site``: nodes that only a possible edge opens, with the edge that did, handed on along all edges after it.
+
+    ``sure`` are the nodes reached for certain; edges are ``src, dst, truth,
+    site`` with sites in order.  A node opened in several ways in one round takes the least site.
+    """
+    from pyspark.sql.functions import min as least
+
+    edges = edges.checkpoint()
+    known = sure.select("node")
+    opened = edges.filter(F.col("truth") == UNKNOWN).join(known, edges["src"] == known["node"], "left_semi").select(F.col("dst").alias("node"), "site")
+    front = opened.join(known, "node", "left_anti").groupBy("node").agg(least("site").alias("site")).checkpoint()
+    parts = [front]
+    while not front.isEmpty():
+        after = edges.select("src", "dst").join(front, edges["src"] == front["node"]).select(F.col("dst").alias("node"), "site")
+        for part in (known, *(p.select("node") for p in parts)):
+            after = after.join(part, "node", "left_anti")
+        front = after.groupBy("node").agg(least("site").alias("site")).checkpoint()
+        parts.append(front)
+        if len(parts) > COMPACT:
+            parts = [reduce(DataFrame.unionByName, parts).checkpoint()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def poisoned(reached: DataFrame, calls: DataFrame, named: DataFrame) -> DataFrame:
+    """``node, pinned``: what an unresolved call (``src, name, qualifier``) from a reached node may mean.
+
+    Nodes of that ``name`` are meant if the call has no qualifier or theirs is
+    the call's; the one node that a qualified call can mean is ``pinned``.
+    """
+    open_ = calls.join(reached.select(F.col("node").alias("src")), "src", "left_semi").select("name", "qualifier").distinct()
+    rows = open_.join(named.select("node", "name", F.col("qualifier").alias("_own")), "name").filter(F.col("qualifier").isNull() | (F.col("qualifier") == F.col("_own")))
+    n = rows.groupBy("name", "qualifier").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(n, rows["name"].eqNullSafe(n["name"]) & rows["qualifier"].eqNullSafe(n["qualifier"])).select("node", (rows["qualifier"].isNotNull() & (F.col("n") == 1)).alias("pinned"))
+    return rows.groupBy("node").agg(F.bool_or("pinned").alias("pinned"))
+
+
+def strata(derive: list, base: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Relations derived one after another: ``derive`` lists names and functions of the relations before; each is checkpointed for those after."""
+    known = dict(base)
+    for name, f in derive:
+        if name in known:
+            raise ValueError(f"the relation {name} is there already")
+        known[name] = strongest(f(dict(known))).checkpoint()
+    return known
