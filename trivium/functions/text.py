@@ -160,7 +160,11 @@ FILLER = (
 )
 
 
-def reason_fault(reason: Column, least: int = 20, banned: tuple[str, ...] = ("temporary", "for now")) -> Column:
+#: Phrases that no reason may hold, in the order in which they are looked for.
+BANNED = ("temporary", "temporarily", "for now", "fix later", "wip", "todo", "tbd", "n a")
+
+
+def reason_fault(reason: Column, least: int = 15, banned: tuple[str, ...] = BANNED) -> Column:
     """Why a reason is refused, null if it is not: too short, a banned phrase, only a rule's name, a repeated word."""
     trimmed = F.trim(reason)
     words = F.filter(F.split(F.lower(trimmed), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -196,3 +200,91 @@ def redmean(a: Column, b: Column) -> Column:
 def identifier(name: Column) -> Column:
     """A name with runs of other characters than letters, digits and '_' as single '-'; none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}_]+", "-"), r"^-+|-+$", "")
+
+
+def hsl_colour(text: Column) -> Column:
+    """hsl(h, s%, l%) as struct(r, g, b, a) of 0 to 1; null if it is none."""
+    form = r"^hsl\(\s*([0-9.]+)(?:deg)?\s*,\s*([0-9.]+)%\s*,\s*([0-9.]+)%\s*\)\z"
+    t = F.lower(F.trim(text))
+    part = lambda i: F.try_to_number(F.regexp_extract(t, form, i), F.lit("999999.999999")).cast("double")
+    h, s, l = part(1) % 360.0 / 30.0, F.least(part(2), F.lit(100.0)) / 100.0, F.least(part(3), F.lit(100.0)) / 100.0
+    a = s * F.least(l, 1.0 - l)
+
+    def channel(n: int) -> Column:
+        k = (h + float(n)) % 12.0
+        return l - a * F.greatest(F.lit(-1.0), F.least(k - 3.0, 9.0 - k, F.lit(1.0)))
+
+    return F.when(t.rlike(form), F.struct(channel(0).alias("r"), channel(8).alias("g"), channel(4).alias("b"), F.lit(1.0).alias("a")))
+
+
+def rgb_colour(text: Column) -> Column:
+    """rgb(r, g, b) with numbers up to 255 as struct(r, g, b, a) of 0 to 1; null if it is none."""
+    form = r"^rgba?\(\s*([0-9]{1,3})\s*,\s*([0-9]{1,3})\s*,\s*([0-9]{1,3})\s*\)\z"
+    t = F.lower(F.trim(text))
+    part = lambda i: F.least(F.regexp_extract(t, form, i).try_cast("double"), F.lit(255.0)) / 255.0
+    return F.when(t.rlike(form), F.struct(part(1).alias("r"), part(2).alias("g"), part(3).alias("b"), F.lit(1.0).alias("a")))
+
+
+def bare_markers(line: Column, markers: tuple[str, ...] = ("TODO", "FIXME", "HACK", "XXX")) -> Column:
+    """Work markers of a line that name no owner in brackets right after them, in their order."""
+    return F.regexp_extract_all(line, F.lit(rf"(?<![A-Za-z0-9_])({'|'.join(markers)})(?![A-Za-z0-9_])(?!\([^)]+\))"), 1)
+
+
+def line_at(text: Column, offset: Column) -> Column:
+    """struct(line, col, col16) from 0 of a byte offset: line, bytes and UTF-16 units before it in its line; null beyond the text."""
+    raw = F.encode(text, "UTF-8")
+    before = F.decode(F.substring(raw, F.lit(1), offset.cast("int")), "UTF-8")
+    last = F.substring_index(before, "\n", -1)
+    wide = F.length(F.regexp_replace(last, r"[\x{10000}-\x{10FFFF}]", "ab"))
+    inside = (offset >= 0) & (offset <= F.octet_length(text))
+    return F.when(inside, F.struct((F.size(F.split(before, "\n", -1)) - 1).alias("line"), F.octet_length(last).alias("col"), wide.alias("col16")))
+
+
+def range_contains(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """Does the half-open range a hold b?"""
+    return (a_start <= b_start) & (b_end <= a_end)
+
+
+def range_cover(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """The least range that holds both."""
+    return F.struct(F.least(a_start, b_start).alias("start"), F.greatest(a_end, b_end).alias("end"))
+
+
+def range_meet(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """What two half-open ranges share, which may be empty; null if they are apart."""
+    lo, hi = F.greatest(a_start, b_start), F.least(a_end, b_end)
+    return F.when(lo <= hi, F.struct(lo.alias("start"), hi.alias("end")))
+
+
+def class_candidates(attribute: Column) -> Column:
+    """The classes of a list, each as struct(variants, name, important): ``sm:hover:!p-2`` has the variants sm and hover.
+
+    A colon within brackets separates nothing.
+    """
+    words = F.filter(F.split(F.trim(attribute), r"\s+"), lambda w: w != "")
+    colon = r":(?![^\[]*\])"
+    parts = lambda w: F.split(w, colon)
+    plain = lambda w: F.element_at(parts(w), -1)
+    return F.transform(words, lambda w: F.struct(F.slice(parts(w), F.lit(1), F.size(parts(w)) - 1).alias("variants"), F.regexp_replace(plain(w), r"^!|!$", "").alias("name"), plain(w).rlike(r"^!|!$").alias("important")))
+
+
+def step_name(step: Column) -> Column:
+    """A step of a scale as text: no zeros at the end, no point without digits after it."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.4f", step.cast("double")), "0+$", ""), r"\.$", "")
+
+
+def language(path: Column, known: dict[str, str]) -> Column:
+    """The language of a path by the ending of its last segment, null if none is known."""
+    name = F.lower(F.substring_index(path, "/", -1))
+    ending = F.when(name.contains("."), F.substring_index(name, ".", -1))
+    return F.coalesce(*(F.when(ending == e, l) for e, l in known.items()), F.lit(None).cast("string"))
+
+
+def role(path: Column, ledger: str = "tickets") -> Column:
+    """``ledger`` for paths below a folder of that name (a whole component), else ``source``."""
+    return F.when(F.array_contains(F.slice(F.split(path, "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), ledger), "ledger").otherwise("source")
+
+
+def stored_text(text: Column) -> Column:
+    """A text as a repository stores it: lines end in a line feed alone."""
+    return F.replace(text, F.lit("\r\n"), F.lit("\n"))

@@ -183,9 +183,9 @@ def poisoned(reached: DataFrame, calls: DataFrame, named: DataFrame) -> DataFram
     """
     open_ = calls.join(reached.select(F.col("node").alias("src")), "src", "left_semi").select("name", "qualifier").distinct()
     rows = open_.join(named.select("node", "name", F.col("qualifier").alias("_own")), "name").filter(F.col("qualifier").isNull() | (F.col("qualifier") == F.col("_own")))
-    n = rows.groupBy("name", "qualifier").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(n, rows["name"].eqNullSafe(n["name"]) & rows["qualifier"].eqNullSafe(n["qualifier"])).select("node", (rows["qualifier"].isNotNull() & (F.col("n") == 1)).alias("pinned"))
-    return rows.groupBy("node").agg(F.bool_or("pinned").alias("pinned"))
+    one = rows.filter("qualifier is not null").groupBy("name", "qualifier").agg(F.min("node").alias("node"), F.max("node").alias("_last")).filter("node = _last")
+    pinned = one.select("node").distinct().withColumn("pinned", F.lit(True))
+    return rows.select("node").distinct().join(pinned, "node", "left").fillna(False, ["pinned"])
 
 
 def strata(derive: list, base: dict[str, DataFrame]) -> dict[str, DataFrame]:

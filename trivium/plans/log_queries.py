@@ -60,8 +60,8 @@ def users(spark, d):
     return table(spark, d, "events").select("user_id").distinct().selectExpr(*USERS)
 
 
-@query(f"""WITH {MOVED}, {USER}, l AS (SELECT ticket, max(event_id) AS at FROM m WHERE "to" = 'done' GROUP BY ticket)
-SELECT id, type, points, at FROM u JOIN l ON l.ticket = u.id WHERE category = 'done' AND outcome IN ('fixed', 'done')""")
+@query(f"""WITH {MOVED}, {USER}, l AS (SELECT ticket, max(event_id) AS "at" FROM m WHERE "to" = 'done' GROUP BY ticket)
+SELECT id, type, points, "at" FROM u JOIN l ON l.ticket = u.id WHERE category = 'done' AND outcome IN ('fixed', 'done')""")
 def done_facts(spark, d):
     return log.done_facts(moves(spark, d), users(spark, d), ["event_id"])
 
@@ -89,7 +89,7 @@ def skewed_events(spark, d):
     return log.skewed(events, "ms", "at").select("event_id", "skew")
 
 
-@query("SELECT ticket, arg_min(kind, at) AS kind FROM (SELECT user_id AS ticket, event_id AS at, CASE event_type WHEN 'signup' THEN 'create' ELSE event_type END AS kind FROM events) GROUP BY ticket HAVING arg_min(kind, at) <> 'create'")
+@query("SELECT ticket, arg_min(kind, t) AS kind FROM (SELECT user_id AS ticket, event_id AS t, CASE event_type WHEN 'signup' THEN 'create' ELSE event_type END AS kind FROM events) GROUP BY ticket HAVING arg_min(kind, t) <> 'create'")
 def not_created_first(spark, d):
     events = table(spark, d, "events").select(F.col("user_id").alias("ticket"), "event_id", F.when(F.col("event_type") == "signup", "create").otherwise(F.col("event_type")).alias("kind"))
     return log.not_created_first(events, ["event_id"])
@@ -287,7 +287,7 @@ def shown_on_board(spark, d):
     return table(spark, d, "orders").filter(shown).select("o_orderkey")
 
 
-@query(f"""WITH {MOVED}, {USER}, l AS (SELECT u.id, max(event_id) AS at FROM m JOIN u ON u.id = m.ticket AND m."to" = u.category GROUP BY u.id) SELECT u.id, coalesce(at, -u.id) AS since FROM u LEFT JOIN l USING (id)""")
+@query(f"""WITH {MOVED}, {USER}, l AS (SELECT u.id, max(event_id) AS t FROM m JOIN u ON u.id = m.ticket AND m."to" = u.category GROUP BY u.id) SELECT u.id, coalesce(t, -u.id) AS since FROM u LEFT JOIN l USING (id)""")
 def card_since(spark, d):
     return agenda.card_since(moves(spark, d), users(spark, d).withColumn("created", -F.col("id")), ["event_id"])
 

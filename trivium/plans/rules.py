@@ -18,8 +18,12 @@ def verdicts(polarity: str, lo: Column, hi: Column, threshold: int | None = None
     """Verdicts of a subject from the certain (``lo``) and possible (``hi``) count of what the rule looks for.
 
     P+: any is a violation; what may be is unresolved besides.  P-: none is a
-    violation.  Pn max / Pn min: the count against ``threshold``.
+    violation.  Pn max / Pn min: the count against ``threshold``.  P0 and Pc
+    look for one thing (a difference, a cycle): certain is a violation,
+    possible unresolved.
     """
+    if polarity in ("P0", "Pc"):
+        return _list((lo > 0, "Violation"), (hi == 0, "Clean"), ((lo == 0) & (hi > 0), "Unresolved"))
     if polarity == "P+":
         return _list((lo > 0, "Violation"), ((lo == 0) & (hi == lo), "Clean"), (hi > lo, "Unresolved"))
     if polarity == "P-":
@@ -59,6 +63,51 @@ def rollup(judged: DataFrame, group: list[str], name: str) -> DataFrame:
     return counts.join(first, group).withColumn("names", F.array_join("names", ","))
 
 
+def taint(kind: Column, poisoned: Column) -> Column:
+    """The kind of an observation: what was computed exactly through something unresolved is unknown; bounds are trusted."""
+    return F.when(poisoned & (kind == "Exact"), "Unknown").otherwise(kind)
+
+
+def examine(subjects: DataFrame, polarity: str, threshold: int | None = None) -> DataFrame:
+    """``subject, verdict, reason, examined`` of every subject of a rule.
+
+    ``subjects``: ``subject, selected`` (2 certainly a subject, 1 perhaps),
+    ``unseen`` (why nothing can look into it, or null), ``kind`` (Exact, Bounds,
+    Unknown, NotApplicable), ``lo, hi, poisoned, reason``.  What is only perhaps
+    a subject, or cannot be seen, is unresolved and not examined; an unknown
+    observation is unresolved, though examined.
+    """
+    kind = taint(F.col("kind"), F.coalesce("poisoned", F.lit(False)))
+    listed = (
+        F.when(F.col("selected") < 2, F.array(F.lit("Unresolved")))
+        .when(F.col("unseen").isNotNull(), F.array(F.lit("Unresolved")))
+        .when(kind == "NotApplicable", F.array(F.lit("NotApplicable")))
+        .when(kind == "Unknown", F.array(F.lit("Unresolved")))
+        .otherwise(verdicts(polarity, F.col("lo"), F.col("hi"), threshold))
+    )
+    seen = (F.col("selected") == 2) & F.col("unseen").isNull() & (kind != "NotApplicable")
+    rows = subjects.filter("selected > 0").select("subject", F.explode(listed).alias("verdict"), F.col("unseen"), F.col("selected"), F.col("reason").alias("_reason"), seen.alias("examined"))
+    reason = F.when(F.col("selected") < 2, "unknown").when(F.col("unseen").isNotNull(), F.col("unseen")).otherwise(F.coalesce("_reason", F.lit("unknown")))
+    return rows.select("subject", "verdict", F.when(F.col("verdict") == "Unresolved", reason).alias("reason"), "examined")
+
+
+def conclude(examined: DataFrame, must_measure: bool = False) -> DataFrame:
+    """One row of accounting: ``subjects, examined, violations, unresolved, vacuous, required, truth``.
+
+    Subjects to which the rule does not apply do not count; if it applies to
+    none of those there are, nothing is reported.  A rule that examined nothing
+    and left nothing unresolved is vacuous; one that must measure and examined
+    nothing is required.
+    """
+    each = examined.groupBy("subject").agg(F.max(F.col("verdict") == "Violation").alias("v"), F.max(F.col("verdict") == "Unresolved").alias("u"), F.max(F.col("verdict") == "NotApplicable").alias("na"), F.max("examined").alias("e"))
+    out = each.agg(F.count_if(~F.col("na")).alias("subjects"), F.count_if("e").alias("examined"), F.count_if("v").alias("violations"), F.count_if("u").alias("unresolved"), F.count(F.lit(1)).alias("_all"))
+    silent = (F.col("_all") > 0) & (F.col("subjects") == 0)
+    vacuous = ~silent & (F.col("examined") == 0) & (F.col("unresolved") == 0)
+    out = out.withColumn("vacuous", vacuous).withColumn("required", ~silent & (F.col("examined") == 0) & F.lit(must_measure))
+    state = F.when(F.col("violations") > 0, 0).when((F.col("unresolved") > 0) | F.col("vacuous") | silent, 1).otherwise(2)
+    return out.withColumn("truth", state.cast("tinyint")).drop("_all")
+
+
 def tally(findings: DataFrame, *by: str) -> DataFrame:
     """Findings by severity."""
     return findings.groupBy(*by).agg(*(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES))
