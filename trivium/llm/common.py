@@ -83,17 +83,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 ROWS_A_FILE = 50_000
 
 
-def materialise(df: DataFrame, name: str, stays: bool = False, rows: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, stays: bool = False, rows: int | None = None, least: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage and survives the loss of executors: later reads go to the
     shared files, not to blocks held by one executor.  ``stays``: a
     :func:`scratch` block leaves it in place.  ``rows``: about how many there
-    are, which keeps a small table from many files; every core still writes one.
+    are, which keeps a small table from many files; ``least`` files are written
+    even so, one a core unless it is given.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
+        df = df.coalesce(max(least or spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
     folder = f"{shared_folder(spark)}/trivium-{uuid.uuid4().hex}"
     if not stays and _written.get() is not None:
         _written.get().append(folder)
@@ -108,6 +109,19 @@ def discard(table: DataFrame) -> None:
     _delete(table.sparkSession, table._trivium_folder)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Have Spark hand texts to Python in batches of about 8 MB, unless the session says otherwise.
+
+    Each running task holds a batch several times, in the JVM and in Python;
+    with the default of 64 MB that is most of what a small executor has.
+    """
+    if spark.conf.get(BATCH) == "67108864b":
+        spark.conf.set(BATCH, str(size))
+
+
 def _reads_alike(docs: DataFrame) -> bool:
     """Does ``docs`` read files (or cached rows) and nothing else than choose rows and columns of them?"""
     nodes = [docs._jdf.queryExecution().optimizedPlan()]
@@ -127,6 +141,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     however often files are read and whichever columns; rows that come from
     anything else are written to the shared folder first.
     """
+    small_batches(docs.sparkSession)
     name = "_row"
     while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"

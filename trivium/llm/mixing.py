@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_bytes
+from .common import materialise, rows_of, small_batches, text_bytes
 
 WEIGHTS = (5, 2, 1)
 MAX_PATTERNS = 200_000  # patterns and sources are metadata; beyond this the call fails rather than flooding the driver
@@ -41,7 +41,7 @@ def word_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = pa.array([len(text_bytes(t).split()) for t in batch.column("text").to_pylist()], pa.int64())
+            size = pa.array([len(text_bytes(t).split()) for (t,) in rows_of([batch], ("text",))], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), size], names=[*keep, "size"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
@@ -141,6 +141,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = 3, seed: int = 11, memb
     several; by default a document belongs to its ``source``.  For overlapping
     sources, source_size and target are those of the first source of the pattern.
     """
+    small_batches(docs.sparkSession)
     belongs = F.array(F.col("source")) if members is None else F.array_sort(F.array_distinct(members))
     rows = docs.withColumn("_members", belongs).withColumn("_hash", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")))
     sized = materialise(word_counts(rows, ["doc_id", "_members", "_hash", *keep]), "sizes")

@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, discard, materialise, mix64, numbered, words
+from .common import U64, discard, materialise, mix64, numbered, release_memory, rows_of, words
 
 SKETCH_SCHEMA = "id long, doc_id long, key binary, n_shingles long, bits0 long, bits1 long, bands array<long>"
 PRIME = U64(0x9E3779B97F4A7C15)
@@ -108,7 +108,7 @@ def sketches(docs: DataFrame, row: str, k: int, bands: int, rows: int, seed: int
         hashes = WordHashes()
         for batch in batches:
             keys, sizes, bits, found = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for (text,) in rows_of([batch], ("text",)):
                 tokens = words(text)
                 s = shingle_set(tokens, k, hashes)
                 sizes.append(len(s))
@@ -136,6 +136,7 @@ def sketches(docs: DataFrame, row: str, k: int, bands: int, rows: int, seed: int
                 ],
                 names=["id", "doc_id", "key", "n_shingles", "bits0", "bits1", "bands"],
             )
+        release_memory()
 
     return docs.select(row, "doc_id", "text").mapInArrow(run, SKETCH_SCHEMA)
 
@@ -144,8 +145,11 @@ def shingle_sets(docs: DataFrame, row: str, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            blobs = [shingle_set(words(t), k, hashes).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(row), pa.array(blobs, pa.binary())], names=["id", "shingles"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                blobs = [shingle_set(words(t), k, hashes).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(row), pa.array(blobs, pa.binary())], names=["id", "shingles"])
+        release_memory()
 
     return docs.select(row, "text").mapInArrow(run, "id long, shingles binary")
 
@@ -214,7 +218,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of the links (a, b): component is the smallest node reachable.
 
     Alternates large-star and small-star; each operation moves links to the
-    smallest neighbour, and the loop ends when a round changes nothing.
+    smallest neighbour.  A round is two of each, written once; the loop ends
+    when a round changes nothing.
     """
 
     def large(e: DataFrame) -> DataFrame:
@@ -228,10 +233,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", rows=edges.count())
+    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", rows=edges.count(), least=1)
     before = _fingerprint(now)
     while before[0]:
-        last, now = now, materialise(small(large(now)), "edges", rows=before[0])
+        last, now = now, materialise(small(large(small(large(now)))), "edges", rows=before[0], least=1)
         discard(last)
         after = _fingerprint(now)
         if after == before:
@@ -319,7 +324,7 @@ def near_classes(docs: DataFrame, row: str, k: int, percent: int, bands: int, ro
     member = reps.select("id", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("g"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket", "g")
     member = materialise(member.join(shared, "bucket"), "buckets", rows=n)
-    sets = materialise(shingle_sets(docs.join(member.select(F.col("id").alias(row)).distinct(), row, "left_semi"), row, k), "sets", rows=4 * n)
+    sets = materialise(shingle_sets(docs.join(member.select(F.col("id").alias(row)).distinct(), row, "left_semi"), row, k), "sets", rows=16 * n)
 
     # First: one centre a document.
     degree = member.groupBy("id").agg(F.sum("g").alias("degree"))
@@ -342,7 +347,7 @@ def near_classes(docs: DataFrame, row: str, k: int, percent: int, bands: int, ro
     take, everywhere = PARTNERS, False
     while True:
         open_ = open_rows(member, component, bits, everywhere)
-        found = materialise(partners(open_, percent, take), "partners")
+        found = materialise(partners(open_, percent, take), "partners", rows=take * n)
         more = materialise(verified(found.filter("a is not null").select("a", "b").distinct(), sets, percent), "links", rows=4 * found.count())
         if more.limit(1).count():
             links = links.unionByName(more)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import rows_of, small_batches
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 MAX_TAILS = 32_768
 END_ID = 0
@@ -149,6 +151,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], list[int]]], cap
     an end id is added to each document.  ``sequence_id`` is unique over all
     partitions, ``offset`` is gapless from 0 within a sequence.
     """
+    small_batches(docs.sparkSession)
     if capacity & capacity - 1:
         raise ValueError("capacity must be a power of two")
 
@@ -174,7 +177,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], list[int]]], cap
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, text in rows_of([batch], ("doc_id", "text")):
                 ids = np.array([*(encode(text) if text else ()), END_ID], dtype="<u4")
                 total = len(ids)
                 full = total - total % capacity

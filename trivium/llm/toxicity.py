@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, rows_of
+from .common import release_memory, rows_of, small_batches
 from .features import STATISTICS, WordIds, statistics, training_rows
 
 MAX_TRAINING = 20_000
@@ -214,6 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Chain
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary()), pa.array(dense, pa.binary()), batch.column("low_quality").cast(pa.int32()), batch.column("toxic").cast(pa.int32())], names=["doc_id", "ids", "dense", "low_quality", "toxic"])
         release_memory()
 
+    small_batches(docs.sparkSession)
     marks = labels.select("doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), (F.col("toxic") == 1).cast("int").alias("toxic"))
     rows = training_rows(docs.select("doc_id", "text"), marks, list(CATEGORIES), most)
     rows = rows.mapInArrow(run, "doc_id long, ids binary, dense binary, low_quality int, toxic int").toArrow().sort_by("doc_id")
