@@ -102,7 +102,7 @@ def on_cycles(edges: DataFrame) -> DataFrame:
             before = n
             left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select(*PAIR).checkpoint()
             n = left.count()
-            if n > 0.9 * before:
+            if not n or n > 0.9 * before:
                 break
         if not n:
             break

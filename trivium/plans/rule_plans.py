@@ -20,7 +20,7 @@ from pyspark.sql import types as S
 
 from trivium.functions import text as X
 from trivium.functions import truth as T
-from trivium.operators import relation, spans
+from trivium.operators import planning, relation, spans
 from trivium.plans.rulelang import MOST_STEPS, Rule, RuleError, substitute, variables
 
 SIDE_ROWS = 10_000
@@ -464,6 +464,30 @@ def evaluate(rule: Rule, catalog: Catalog, knobs: dict | None = None) -> DataFra
     return Planner(rule, catalog, knobs).verdicts()
 
 
+def report(rule: Rule, catalog: Catalog, knobs: dict | None = None) -> DataFrame:
+    """What a rule comes to: ``rule, severity, subject, message, reason, n, required, notes``.
+
+    A row a violation; a row for each reason of doubt with the number of its
+    subjects and the first three; and one, ``vacuous``, if there was nothing to
+    judge, which is required of a rule that must measure.
+    """
+    for name in rule.needs:
+        if not any(side == name or side.startswith(f"{name}.") for side in catalog.sides):
+            raise RuleError(f"{rule.id}: needs {name}, which the catalog does not have")
+    if rule.rollup is not None:
+        raise RuleError(f"{rule.id}: doubts are rolled up by reason; rollup {rule.rollup} is not there")
+    rows = evaluate(rule, catalog, knobs)
+    none = F.lit(None).cast("string")
+    notes = F.lit("\n".join(text for _, text in rule.notes))
+    sure = rows.filter("verdict = 'Violation'").select("rule", "severity", "subject", "message", none.alias("reason"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("required"), notes.alias("notes"))
+    doubts = rows.filter("verdict = 'Unresolved'").withColumn("reason", F.coalesce("reason", F.lit("unknown")))
+    first = planning.first_names(doubts, ["rule", "reason"], "subject", 3)
+    rolled = doubts.groupBy("rule", "reason").agg(F.count(F.lit(1)).alias("n")).join(first, ["rule", "reason"], "left")
+    rolled = rolled.select("rule", F.lit("unresolved").alias("severity"), none.alias("subject"), F.array_join("first", ", ").alias("message"), "reason", "n", F.lit(False).alias("required"), notes.alias("notes"))
+    empty = rows.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit(rule.id).alias("rule"), F.lit("unresolved").alias("severity"), none.alias("subject"), F.lit("no subject was examined").alias("message"), F.lit("vacuous").alias("reason"), "n", F.lit(rule.must_measure).alias("required"), notes.alias("notes"))
+    return sure.unionByName(rolled).unionByName(empty)
+
+
 def findings(verdicts: DataFrame) -> DataFrame:
     """What is reported of verdicts: violations and, with severity ``unresolved``, doubts; each with its fingerprint."""
     rows = verdicts.filter("verdict <> 'Clean'")
