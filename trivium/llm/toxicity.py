@@ -11,8 +11,8 @@ document counts), so that its size is bounded by the vocabulary of markers and
 long clean texts do not gather noise.  Words are told apart by their crc32.
 
 The chain is fitted on at most ``MAX_TRAINING`` labelled documents (a stated
-bound; only word hashes travel to the driver), and scores every document in
-one narrow map.
+bound; their word hashes go to one task, the model to the driver), and scores
+every document in one narrow map.
 
 Edge cases: null and empty texts are scored from their (zero) statistics;
 repeated rows are scored each; without labels of a category its probability
@@ -21,6 +21,7 @@ is 0; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -217,17 +218,26 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Chain
     small_batches(docs.sparkSession)
     marks = labels.select("doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), (F.col("toxic") == 1).cast("int").alias("toxic"))
     rows = training_rows(docs.select("doc_id", "text"), marks, list(CATEGORIES), most)
-    rows = rows.mapInArrow(run, "doc_id long, ids binary, dense binary, low_quality int, toxic int").toArrow().sort_by("doc_id")
+    rows = rows.mapInArrow(run, "doc_id long, ids binary, dense binary, low_quality int, toxic int")
+
+    def fit(table: pa.Table) -> pa.Table:
+        chain = pickle.dumps(fit_rows(table.sort_by([("doc_id", "ascending"), ("ids", "ascending"), ("dense", "ascending")])))
+        release_memory()
+        return pa.table({"chain": pa.array([chain], pa.binary())})
+
+    # One task fits the whole sample, which MAX_TRAINING bounds: the driver sees the model alone.
+    fitted = rows.withColumn("whole", F.lit(0)).groupBy("whole").applyInArrow(fit, "chain binary").first()
+    return pickle.loads(fitted["chain"]) if fitted else fit_chain(np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros((0, N_DENSE)), np.zeros((0, len(CATEGORIES))))
+
+
+def fit_rows(rows: pa.Table) -> Chain:
+    """The chain of a sample: word hashes, statistics and labels of each row."""
     blobs = rows.column("ids").to_pylist()
     row = np.repeat(np.arange(len(blobs), dtype=np.int32), [len(x) // 4 for x in blobs])
     ids = np.frombuffer(b"".join(blobs), np.uint32)
     dense = np.array([np.frombuffer(x) for x in rows.column("dense").to_pylist()], float).reshape(-1, N_DENSE)
     y = np.column_stack([rows.column(c).to_numpy() for c in CATEGORIES])
-    del rows, blobs
-    release_memory()
-    chain = fit_chain(ids, row, dense, y)
-    release_memory()
-    return chain
+    return fit_chain(ids, row, dense, y)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
