@@ -209,7 +209,7 @@ def test_merge_of_sorted_runs_equals_one_sort(largest):
     rng = np.random.default_rng(4)
     for n_runs in range(1, 8):
         rows = np.zeros(400, exact.RECORD)
-        rows["key"] = [record_key(bytes([d, 0, d]), 3, -c) for d, c in zip(rng.integers(0, 40, 400), rng.integers(0, 3, 400))]
+        rows["key"] = [record_key(bytes([d, 0, d]), 3, -c) for d, c in zip(rng.integers(0, 40, 400).tolist(), rng.integers(0, 3, 400).tolist())]
         rows["id"], rows["has_id"], rows["row"], rows["rows"] = rng.integers(-5, 5, 400), rng.integers(0, 2, 400), rng.permutation(400), 1
         rows["id"] *= rows["has_id"]
         runs = [exact.sorted_run(p, largest) for p in np.array_split(rows, n_runs)]
