@@ -50,7 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
     if configured is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="trivium-")
         spark.conf.set("spark.checkpoint.dir", configured)
