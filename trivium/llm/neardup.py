@@ -218,25 +218,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of the links (a, b): component is the smallest node reachable.
 
     Alternates large-star and small-star; each operation moves links to the
-    smallest neighbour.  A round is two of each, written once; the loop ends
-    when a round changes nothing.
+    smallest neighbour.  A round is one of each, written once, so that its plan
+    stays small; the loop ends when a round changes nothing.
     """
 
+    def pairs(e: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+        return e.select(F.explode(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in ends))).alias("e")).select("e.*")
+
     def large(e: DataFrame) -> DataFrame:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = pairs(e, ("u", "v"), ("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        return pairs(down.join(low, "u"), ("v", "m"), ("u", "m")).filter("u <> v").distinct()
 
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", rows=edges.count(), least=1)
     before = _fingerprint(now)
     while before[0]:
-        last, now = now, materialise(small(large(small(large(now)))), "edges", rows=before[0], least=1)
+        last, now = now, materialise(small(large(now)), "edges", rows=before[0], least=1)
         discard(last)
         after = _fingerprint(now)
         if after == before:
