@@ -1,6 +1,7 @@
 """Operators 2, 6, 9 and 10 against brute force and edge cases."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -65,6 +66,17 @@ def test_near_groups_where_the_centre_is_not_linked(spark):
     assert got == closure(links, sets)
 
 
+def test_components_of_random_links(spark):
+    r = random.Random(4)
+    links = [(r.randrange(200), r.randrange(200)) for _ in range(150)]
+    root = list(range(200))
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x.node: x.component for x in neardup.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root[x] for a, b in links if a != b for x in (a, b)}
+
+
 def test_components_of_a_path_and_a_cycle(spark):
     links = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (32, 30), (40, 40)]
     got = {r.node: r.component for r in neardup.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
