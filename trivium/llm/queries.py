@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, exact, lm, mixing, neardup, packing, quality, suffix, token_counts, toxicity
+from . import ann, exact, line_dedup, lm, mixing, neardup, packing, quality, suffix, token_counts, toxicity
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: The one added token of byte_bpe_50k.json, which the ranks do not hold.
@@ -76,7 +77,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_nearest_neighbours, op3_quality, op4_lm_scoring, op5_toxicity, op6_suffix_dedup, op7_packing, op8_exact_dedup, op9_minhash_near_dedup, op10_source_mixing)}
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_nearest_neighbours, op3_quality, op4_lm_scoring, op5_toxicity, op6_suffix_dedup, op7_packing, op8_exact_dedup, op9_minhash_near_dedup, op10_source_mixing, op12_line_dedup)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -86,4 +92,14 @@ ORACLE_SQL = {
              g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(x) AS text_sha256
         FROM t JOIN g USING (x)""",
+    "op12_line_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+             l AS (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+             b AS (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS blank),
+             k AS (SELECT r, pos, line, translate(rtrim(ltrim(line, blank), blank), '{UPPER}', '{LOWER}') AS key FROM l, b),
+             often AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+             s AS (SELECT r, count(*) AS n_lines, count(o.key) AS n_dropped,
+                          string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE o.key IS NULL) AS kept
+                   FROM k LEFT JOIN often o USING (key) GROUP BY r)
+        SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN s USING (r)""",
 }
