@@ -121,14 +121,26 @@ def version_key(version: Column) -> Column:
     return F.slice(numbers, F.lit(1), F.coalesce(used, F.lit(0)))
 
 
+#: How deep braces of a pattern that is data may nest.
+BRACES = 6
+
+
 def glob_pattern_column(glob: Column) -> Column:
-    """:func:`glob_pattern` for patterns that are data: ``**``, ``*``, ``?``, classes and alternatives that do not nest."""
+    """:func:`glob_pattern` for patterns that are data: ``**``, ``*``, ``?``, classes and alternatives, which nest.
+
+    A comma outside of braces is a comma; a brace that is not closed, or nests deeper than ``BRACES``, is itself.
+    Tables of patterns are joined by :mod:`trivium.operators.globs` instead.
+    """
     p = F.regexp_replace(glob, r"([.+^$()|\\])", r"\\$1")
+    # The innermost braces first: their commas separate, then they are groups themselves.
+    for _ in range(BRACES):
+        p = F.regexp_replace(p, r",(?=[^{}]*\})(?<=\{[^{}]{0,4096})", "\x07")
+        p = F.regexp_replace(p, r"\{([^{}]*)\}", "\x05$1\x06")
+    p = F.regexp_replace(p, r"([{}])", r"\\$1")
     for mark, what in (("\x01", "**/"), ("\x02", "**"), ("\x03", "*"), ("\x04", "?")):
         p = F.replace(p, F.lit(what), F.lit(mark))
-    for mark, regex in (("\x01", "(?:.*/)?"), ("\x02", ".*"), ("\x03", "[^/]*"), ("\x04", "[^/]"), ("[!", "[^/")):
+    for mark, regex in (("\x01", "(?:.*/)?"), ("\x02", ".*"), ("\x03", "[^/]*"), ("\x04", "[^/]"), ("\x05", "(?:"), ("\x06", ")"), ("\x07", "|"), ("[!", "[^/")):
         p = F.replace(p, F.lit(mark), F.lit(regex))
-    p = F.when(p.contains("{"), F.replace(F.replace(F.replace(p, F.lit(","), F.lit("|")), F.lit("{"), F.lit("(?:")), F.lit("}"), F.lit(")"))).otherwise(p)
     return F.concat(F.lit("^"), p, F.lit(r"\z"))
 
 
