@@ -48,7 +48,7 @@ from .common import materialise, release_memory, small_batches, text_bytes
 
 LONGEST_BLOCK = 256
 BLOCK_COST = 1_500_000
-SHARD_TERMS = 2_000_000
+SHARD_TERMS = 1_000_000
 QUERY_BYTES = 4 << 20
 WINDOW = 512  # documents scored between two looks at the threshold
 CUT_TOGETHER = 1 << 19
