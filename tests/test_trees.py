@@ -149,7 +149,7 @@ def found(node, twig, holes):
 
 PATTERNS = [
     "apply($A, $B)", "apply", "apply()", 'ref "a"', "apply($A, $$$REST)", "apply($$$X, ref, $$$Y)", "apply($$$, bind($$$C), $D)", "apply($A, $$$, $A)",
-    "$F(ref)", "unit(..ref \"b\")", "bind(..$U, $$$K)", "apply($$$, apply($A, $$$), $$$)", "apply($$$P, $A, $$$Q, $B, $$$R)", "$T($A, $A)",
+    "$F(ref)", "unit(..ref \"b\")", "bind(..$U, $$$K)", "apply($$$, apply($A, $$$), $$$)", "apply($$$P, $A, $$$Q, $B, $$$R)", "$T($A, $A)", "$T:apply($$$, $R:ref \"a\", $$$)",
 ]
 
 

@@ -17,14 +17,13 @@ A path that aliases make longer than ``MOST_NAMES`` means nothing.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trivium.operators import relation
 
-MOST_NAMES = 32
+MOST_NAMES = 12
+INFERRED = "spark.sql.constraintPropagation.enabled"
 STATE = ["ask", "writer", "module", "path", "truth"]
 
 
@@ -43,24 +42,38 @@ def _named(states: DataFrame, entries: DataFrame) -> DataFrame:
     return states.alias("s").join(entries.filter("kind <> 'glob'").alias("e"), on).filter(_visible("e", F.col("s.writer")))
 
 
+def _start(asks: DataFrame) -> DataFrame:
+    writer = F.col("writer") if "writer" in asks.columns else F.col("module")
+    return asks.select("ask", writer.alias("writer"), "module", "path", F.lit(2).cast("tinyint").alias("truth"))
+
+
 def follow(asks: DataFrame, entries: DataFrame) -> DataFrame:
-    """``ask, target, is_module, truth``: all that the paths (``ask, module, path``) mean."""
-    held = entries.filter("kind <> 'glob'").select(F.col("module"), F.col("name")).distinct()
+    """``ask, target, is_module, truth``: all that the paths (``ask, module, path``, and ``writer`` if another module asks) mean."""
+    entries = entries.checkpoint()
+    named, globs = entries.filter("kind <> 'glob'").alias("e"), entries.filter("kind = 'glob'").alias("e")
     least = F.least(F.col("s.truth"), F.col("e.status")).cast("tinyint").alias("truth")
+    own = (F.col("s.module") == F.col("e.module")) & (F.get("s.path", F.lit(0)) == F.col("e.name"))
 
     def step(states: DataFrame) -> DataFrame:
-        live = states.filter(F.size("path") > 0)
-        named = _named(live, entries)
-        deeper = named.filter((F.col("e.kind") == "module") & (F.size("s.path") > 1)).select("s.ask", "s.writer", F.col("e.target").alias("module"), _rest(F.col("s.path")).alias("path"), least)
-        renamed = named.filter("e.kind = 'alias'").select("s.ask", F.col("e.module").alias("writer"), F.col("e.start").alias("module"), F.concat("e.path", _rest(F.col("s.path"))).alias("path"), least)
-        unknown = live.withColumn("name", F.get("path", F.lit(0))).join(held, ["module", "name"], "left_anti").drop("name")
-        globs = entries.filter("kind = 'glob'").alias("e")
-        brought = unknown.alias("s").join(globs, F.col("s.module") == F.col("e.module")).filter(_visible("e", F.col("s.writer")))
+        live = states.filter(F.size("path") > 0).alias("s")
+        rows = live.join(named, own, "left")
+        alias = F.col("e.kind") == "alias"
+        onward = rows.filter(_visible("e", F.col("s.writer")) & (alias | (F.col("e.kind") == "module") & (F.size("s.path") > 1)))
+        rest = _rest(F.col("s.path"))
+        onward = onward.select("s.ask", F.when(alias, F.col("e.module")).otherwise(F.col("s.writer")).alias("writer"), F.when(alias, F.col("e.start")).otherwise(F.col("e.target")).alias("module"), F.when(alias, F.concat("e.path", rest)).otherwise(rest).alias("path"), least)
+        unknown = rows.filter(F.col("e.module").isNull()).select("s.*").alias("s")
+        brought = unknown.join(globs, F.col("s.module") == F.col("e.module")).filter(_visible("e", F.col("s.writer")))
         brought = brought.select("s.ask", F.col("e.module").alias("writer"), F.col("e.start").alias("module"), F.concat("e.path", "s.path").alias("path"), least)
-        return reduce(DataFrame.unionByName, (deeper, renamed, brought)).filter(F.size("path") <= MOST_NAMES)
-
-    start = asks.select("ask", F.col("module").alias("writer"), "module", "path", F.lit(2).cast("tinyint").alias("truth"))
-    states = relation._extend(start, step, STATE, None)
+        return onward.unionByName(brought).filter(F.size("path") <= MOST_NAMES)
+
+    spark = asks.sparkSession
+    # Spark 4.1 fails to rename what it infers about a checkpointed frontier (a missing key) when that is joined to itself.
+    before = spark.conf.get(INFERRED)
+    spark.conf.set(INFERRED, "false")
+    try:
+        states = relation._extend(_start(asks), step, STATE, None)
+    finally:
+        spark.conf.set(INFERRED, before)
     ends = _named(states.filter(F.size("path") == 1), entries.filter("kind in ('decl', 'module')"))
     return ends.groupBy("s.ask", "e.target").agg(F.max(F.col("e.kind") == "module").alias("is_module"), F.max(F.least("s.truth", "e.status")).cast("tinyint").alias("truth"))
 
@@ -77,13 +90,13 @@ def public_names(entries: DataFrame) -> DataFrame:
     marked = entries.filter("public").withColumn("ask", F.concat_ws("\x00", "module", "kind", F.coalesce("name", F.lit("")), "start", F.array_join("path", "\x01"), "status"))
     asks = marked.filter("kind in ('alias', 'glob')").select("ask", "module", "start", "path").distinct()
     # An alias is written in its own module: what it may see is decided there, wherever its path starts.
-    states = asks.select("ask", F.col("start").alias("module"), "path")
-    meant = follow(states, entries).checkpoint()
+    states = asks.select("ask", F.col("module").alias("writer"), F.col("start").alias("module"), "path")
+    meant = follow(states, entries).select("ask", F.col("target").alias("meant"), "is_module", "truth").checkpoint()
     own = marked.filter("kind in ('decl', 'module')").select("module", "name", "target", (F.col("kind") == "module").alias("is_module"), F.col("status").cast("tinyint").alias("truth"))
     least = F.least("truth", "status").cast("tinyint").alias("truth")
-    aliased = marked.filter("kind = 'alias'").join(meant, "ask").select("module", "name", meant["target"], "is_module", least)
-    # A glob of a module that lacks a path's end brings in the names of the modules that its path means; an empty path is its start.
-    flows = marked.filter("kind = 'glob'").join(meant.filter("is_module"), "ask").select(F.col("module").alias("into"), meant["target"].alias("module"), least)
+    aliased = marked.filter("kind = 'alias'").join(meant, "ask").select("module", "name", F.col("meant").alias("target"), "is_module", least)
+    # A glob brings in the public names of the modules that its path means; an empty path is its start.
+    flows = marked.filter("kind = 'glob'").join(meant.filter("is_module"), "ask").select(F.col("module").alias("into"), F.col("meant").alias("module"), least)
     plain = marked.filter("kind = 'glob' and size(path) = 0").select(F.col("module").alias("into"), F.col("start").alias("module"), F.col("status").cast("tinyint").alias("truth"))
     flows = flows.unionByName(plain).groupBy("into", "module").agg(F.max("truth").alias("along")).checkpoint()
     held = entries.filter("kind <> 'glob'").select("module", "name").distinct()

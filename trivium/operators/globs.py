@@ -131,4 +131,4 @@ def out_of_scope(changed: DataFrame, leases: DataFrame, shared: DataFrame) -> Da
     """Changed files that neither a lease of theirs (by ``lease``) nor a shared pattern covers."""
     rows = changed.select("lease", "path").distinct()
     own = matching(rows.select("path", F.col("lease").alias("_by")), leases.select("lease", "glob").distinct()).filter("_by = lease").select("lease", "path")
-    return unmatched(rows.join(own, ["lease", "path"], "left_anti"), shared)
+    return unmatched(rows.join(own, ["lease", "path"], "left_anti"), shared).select("lease", "path")

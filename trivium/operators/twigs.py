@@ -2,7 +2,7 @@
 
 A pattern is a node, written ``op "name" (children)``; the name and the
 children may be left out, and then any will do.  ``$X`` is any node and binds
-it; ``$X(children)`` any operator; ``$_`` binds nothing.  Among the children
+it, ``$X:op`` one of that operator; ``$_`` binds nothing.  Among the children
 ``$$$A`` is any number of siblings, bound as a stretch of places, and ``..p``
 says that ``p`` is somewhere below, at any depth and besides the children.  A
 hole that is there twice must be the same tree twice: equal digests
@@ -31,7 +31,7 @@ from trivium.functions.truth import NO, UNKNOWN, YES, truth
 from trivium.operators import facets, spans
 from trivium.operators.tree import UNSEEN
 
-TOKEN = re.compile(r'\s*(?:(?P<many>\$\$\$[A-Za-z]\w*|\$\$\$)|(?P<hole>\$[A-Za-z_]\w*)|(?P<deep>\.\.)|(?P<op>[A-Za-z_]\w*)|"(?P<name>[^"]*)"|(?P<mark>[(),]))')
+TOKEN = re.compile(r'\s*(?:(?P<many>\$\$\$[A-Za-z]\w*|\$\$\$)|(?P<hole>\$[A-Za-z_]\w*)|(?P<deep>\.\.)|(?P<op>[A-Za-z_]\w*)|"(?P<name>[^"]*)"|(?P<mark>[(),:]))')
 
 
 class PatternError(ValueError):
@@ -81,6 +81,11 @@ def parse(text: str) -> Twig:
         out = Twig(deep=bool(inside and take("deep")))
         if hole := take("hole"):
             out.hole = None if hole == "$_" else hole[1:]
+            if take("mark", ":"):
+                out.op = take("op")
+                out.name = take("name")
+                if out.op is None:
+                    raise PatternError(f"pattern: an operator expected behind : in {text!r}")
         elif op := take("op"):
             out.op = op
             out.name = take("name")
