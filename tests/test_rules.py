@@ -71,7 +71,7 @@ def test_knobs_and_messages(catalog):
         ("find f: function\nwhere some t: test where t.name != f.name\nreport f \"x\"", "links t"), ("find f: function\nfind t: test\nreport f \"x\"", "links t"),
         ("find f: function\nwhere f reaches f via calls within 2000\nreport f \"x\"", "1 to 1024"), ("find f: function\nwhere f.name ~ /a(?=b)/\nreport f \"x\"", "look-around"),
         ("find f: function\nwhere g(f)\nreport f \"x\"", "definition g"), ("find f: function where some f: test\nreport f \"x\"", "bound twice"),
-        ("find f: function", "reports"), ("def a() = b()\nfind f: function\nreport f \"x\"", "not defined before"), ("find f: `x`\nreport f \"x\"", "snippets"),
+        ("find f: function", "reports"), ("def a() = b()\nfind f: function\nreport f \"x\"", "not defined before"), ("find f: rust`x`\nreport f \"x\"", "no adapter"), ("find f: `x`\nreport f \"x\"", "no nodes"),
     ],
 )
 def test_refused(catalog, body, fault):
@@ -165,3 +165,24 @@ def test_reach_from(spark):
     got = {r.node: (r.lo, r.hi) for r in relation.covered_by(nodes, nodes.filter("node = 'a'"), edges).collect()}
     assert got == {"a": (1, 1), "b": (1, 1), "c": (0, 1), "y": (0, 0)}
     assert {r.node for r in relation.reach_from(nodes.filter("node = 'a'"), edges, 1).collect()} == {"a", "b"}
+
+
+def test_snippets_and_neighbours_drive_bindings(spark):
+    """Patterns with holes as sources and conditions; ``adjoins``, ranges and patterns as the only links."""
+    nodes = spark.createDataFrame(
+        [("a", "n1", None, "unit", "main", 0, 99, 0), ("a", "n2", "n1", "apply", None, 1, 20, 1), ("a", "n3", "n2", "ref", "peer", 2, 5, 2), ("a", "n4", "n2", "literal", "1", 6, 9, 2), ("a", "n5", "n1", "apply", None, 30, 50, 1), ("a", "n6", "n5", "opaque", None, 31, 40, 2), ("a", "n7", "n5", "literal", "2", 41, 44, 2)],
+        "artifact string, node_id string, parent_id string, op string, name string, start long, end long, depth int",
+    )
+    calls = nodes.filter("op = 'apply'").selectExpr("node_id AS id", "artifact AS file", "start", "end", "parent_id AS parent", "cast(start / 10 AS int) AS line")
+    notes = spark.createDataFrame([("c1", "a", 0, 4, 0), ("c2", "a", 70, 80, 7), ("c3", "b", 0, 4, 0)], "id string, file string, start long, end long, line int")
+    paths = spark.createDataFrame([("g1", "{a,x}"), ("g2", "?/**")], "id string, glob string")
+    catalog = rule_plans.Catalog({"call": calls, "note": notes, "owner": paths}, nodes=nodes)
+    assert verdicts(catalog, 'find c: roles`apply($F:ref "peer", $$$A)`\nreport c "x"') == {"n2": "Violation"}
+    rule = rulelang.parse('rule T003 "t" { find c: `apply($F:ref, $X)`\nreport c "{c.F} of {c.X} in {c.file}" }')[0]
+    assert [r.message for r in rule_plans.evaluate(rule, catalog).collect()] == ["n3 of n4 in a"]
+    assert verdicts(catalog, 'find c: call\nwhere c is `apply(ref, $$$)` as roles\nreport c "x"') == {"n2": "Violation", "n5": "Unresolved"}
+    assert verdicts(catalog, 'find c: call\nwhere c has `literal "2"`\nreport c "x"') == {"n2": "Clean", "n5": "Violation"}
+    assert verdicts(catalog, 'find n: note\nfind c: call where n adjoins c\nreport n "x"') == {"c1": "Violation"}
+    assert verdicts(catalog, 'find n: note\nwhere some c: call where n after c\nreport n "x"') == {"c1": "Clean", "c2": "Violation", "c3": "Clean"}
+    assert verdicts(catalog, 'find u: `unit`\nfind c: call where c inside u\nreport c "x"') == {"n2": "Violation", "n5": "Violation"}
+    assert verdicts(catalog, 'find n: note\nfind o: owner where n.file matches o.glob\nreport n "x"') == {"c1": "Violation", "c2": "Violation"}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivium.operators import exports, facets, globs, memo, snapshots, twigs
+from trivium.plans import rule_plans, rulelang
 from trivium.plans.registry import query
 from trivium.plans.tree_queries import ABOVE, NODES, nodes
 from trivium.sources import checkpoint_folder, table
@@ -65,6 +66,51 @@ def pattern_truth(spark, d):
     return twigs.matches(nodes(spark, d), "apply($$$, ref, $$$)")
 
 
+RULES = """
+rule TRE101 "applied-to-a-name" {
+  find c: call
+  where c is roles`apply($$$, ref, $$$)`
+  report c "applied"
+}
+rule TRE102 "literal-beside-a-call" {
+  find n: literal
+  find c: call where n adjoins c
+  report n "beside {c.id}"
+}
+rule TRE103 "call-of-a-literal" {
+  find c: `apply($A:literal, $$$)`
+  where c.name == "n3"
+  report c "{c.A}"
+}
+"""
+
+
+def _tree_verdicts(spark: SparkSession, d: str, rule: str) -> DataFrame:
+    n = nodes(spark, d)
+    of = lambda op: n.filter(F.col("op") == op).select(F.col("node_id").alias("id"), F.col("artifact").alias("file"), "start", "end", F.col("parent_id").alias("parent"), "name", F.floor(F.col("start") / 30).alias("line"))
+    catalog = rule_plans.Catalog({"call": of("apply"), "literal": of("literal")}, nodes=n)
+    found = next(r for r in rulelang.parse(RULES) if r.id == rule)
+    return rule_plans.evaluate(found, catalog).drop("reason")
+
+
+@query(f"""WITH {UNSEEN_KIDS} SELECT 'TRE101' AS rule, 'warn' AS severity, CAST(node_id AS VARCHAR) AS subject, CASE WHEN sure THEN 'Violation' WHEN may THEN 'Unresolved' ELSE 'Clean' END AS verdict, 'applied' AS message FROM n LEFT JOIN h USING (node_id) WHERE op = 'apply'""")
+def grl_snippet_condition(spark, d):
+    return _tree_verdicts(spark, d, "TRE101")
+
+
+@query(f"""WITH {NODES}, p AS (SELECT *, floor("start" / 30) AS line FROM n) SELECT 'TRE102' AS rule, 'warn' AS severity, CAST(a.node_id AS VARCHAR) AS subject, 'Violation' AS verdict, 'beside ' || c.node_id AS message
+FROM p a JOIN p c ON c.artifact = a.artifact AND c.line - a.line BETWEEN 0 AND 1 WHERE a.op = 'literal' AND c.op = 'apply'""")
+def grl_adjoins_links(spark, d):
+    """A binding that nothing but the neighbourhood of two lines links."""
+    return _tree_verdicts(spark, d, "TRE102")
+
+
+@query(f"""WITH {KIDS} SELECT 'TRE103' AS rule, 'warn' AS severity, CAST(n.node_id AS VARCHAR) AS subject, CASE WHEN n.name = 'n3' THEN 'Violation' ELSE 'Clean' END AS verdict, CAST(c.node_id AS VARCHAR) AS message
+FROM n JOIN c ON c.parent_id = n.node_id AND c.ix = 1 WHERE n.op = 'apply' AND c.op = 'literal'""")
+def grl_snippet_source(spark, d):
+    return _tree_verdicts(spark, d, "TRE103")
+
+
 # Imports: modules m0 to m199 with the names n1 to n50, made of the parts table
 
 KIND = "CASE p_size % 10 WHEN 5 THEN 'module' WHEN 6 THEN 'module' WHEN 7 THEN 'alias' WHEN 8 THEN 'alias' WHEN 9 THEN 'glob' ELSE 'decl' END"

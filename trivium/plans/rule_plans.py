@@ -20,7 +20,7 @@ from pyspark.sql import types as S
 
 from trivium.functions import text as X
 from trivium.functions import truth as T
-from trivium.operators import planning, relation, spans
+from trivium.operators import globs, planning, relation, spans, twigs
 from trivium.plans.rulelang import MOST_STEPS, Rule, RuleError, substitute, variables
 
 SIDE_ROWS = 10_000
@@ -35,11 +35,14 @@ class Catalog:
     ``kinds``: tables with a unique, non-null ``id``; positions use ``file, start, end, line``,
     structure ``parent, unit``, attributes a map ``attrs`` (``attrs_provided`` false: not known).
     ``relations``: verbs as ``src, dst, truth``.  ``sides``: small configuration tables.
+    ``nodes``: the trees that snippets are looked for in, as :mod:`twigs` has them;
+    their artifacts are files and their ids those of the kinds.
     """
 
     kinds: dict[str, DataFrame]
     relations: dict[str, DataFrame] = field(default_factory=dict)
     sides: dict[str, DataFrame] = field(default_factory=dict)
+    nodes: DataFrame | None = None
 
 
 def java_regex(pattern: str, flags: str = "") -> str:
@@ -90,6 +93,8 @@ class Planner:
         if source[0] == "alt":
             parts = [self.table(s) for s in source[1]]
             return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).dropDuplicates(["id"])
+        if source[0] == "snippet":
+            return self.snippet(source)
         _, name, fields = source
         if any(variables(term) for _, term in fields):
             raise RuleError(f"{self.rule.id}: fields of {name} equal literals or knobs; put other equalities after where")
@@ -103,6 +108,29 @@ class Planner:
                 return df
         raise self.unknown("kind", name, [*self.catalog.kinds, *self.catalog.sides])
 
+    def pattern(self, source: tuple) -> twigs.Twig:
+        if source[1] not in ("", "roles", "tree"):
+            raise RuleError(f"{self.rule.id}: no adapter reads {source[1]} snippets; patterns over the universal roles have the tag roles")
+        if self.catalog.nodes is None:
+            raise RuleError(f"{self.rule.id}: the catalog has no nodes to look for snippets in")
+        try:
+            return twigs.parse(source[2])
+        except twigs.PatternError as e:
+            raise RuleError(f"{self.rule.id}: {e}") from e
+
+    def snippet(self, source: tuple) -> DataFrame:
+        """Nodes that a pattern matches, each once, with its holes as fields: of several ways to match, that of the least nodes."""
+        found = twigs.match(self.catalog.nodes, self.pattern(source))
+        holes = [c for c in found.columns if c not in ("artifact", "root")]
+        least = found.groupBy("artifact", "root").agg(F.min(F.struct(*holes) if holes else F.lit(0)).alias("_h"))
+        at = self.catalog.nodes.select("artifact", F.col("node_id").alias("root"), "op", "name", "start", "end", F.col("parent_id").alias("parent"))
+        rows = at.join(least, ["artifact", "root"]).select(F.col("root").alias("id"), F.col("artifact").alias("file"), "op", "name", "start", "end", "parent", *(F.col(f"_h.{h}").alias(h) for h in holes))
+        if len(source) > 3:
+            if source[3] not in self.catalog.kinds:
+                raise self.unknown("kind", source[3], self.catalog.kinds)
+            rows = rows.join(self.catalog.kinds[source[3]].select("id").distinct(), "id", "left_semi")
+        return rows
+
     def is_side(self, source: tuple) -> bool:
         return source[0] == "kind" and source[1] in self.catalog.sides
 
@@ -112,9 +140,13 @@ class Planner:
             df = df.filter(F.col("lang").isin(*self.rule.langs))
         return df.select(F.struct(*(F.col(c) for c in df.columns)).alias(name))
 
+    @staticmethod
+    def large(df: DataFrame) -> bool:
+        return df.limit(SIDE_ROWS + 1).count() > SIDE_ROWS
+
     def small(self, df: DataFrame, why: str) -> DataFrame:
         """A side table to broadcast, its rows counted first."""
-        if df.limit(SIDE_ROWS + 1).count() > SIDE_ROWS:
+        if self.large(df):
             raise RuleError(f"{self.rule.id}: {why} has over {SIDE_ROWS} rows and no equality that links it")
         return F.broadcast(df)
 
@@ -210,6 +242,11 @@ class Planner:
             return df, F.when(self.term(df, cond[1]).isNotNull(), T.truth(T.YES)).otherwise(T.truth(T.NO))
         if op == "is":
             return self.kind_or_flag(df, cond[1], cond[2])
+        if op == "like":
+            mark, t = self.fresh(), self.fresh()
+            known = twigs.matches(self.catalog.nodes, self.pattern(cond[2])).select(F.col("node_id").alias(mark), F.col("truth").alias(t))
+            df = df.join(known, self.term(df, cond[1]) == F.col(mark), "left")
+            return df, F.coalesce(F.col(t), T.truth(T.NO)).cast("tinyint")
         if op == "attr":
             name = cond[1][1]
             found = F.map_contains_key(self.field(df, name, ("attrs",)), F.lit(cond[2]))
@@ -276,7 +313,7 @@ class Planner:
 
     def shape(self, df: DataFrame, thing: tuple) -> tuple | None:
         """An object that is no bound variable is an anonymous shape."""
-        if thing[0] in ("kind", "alt"):
+        if thing[0] in ("kind", "alt", "snippet"):
             return thing
         if thing[0] == "var" and not thing[2] and thing[1] not in df.columns and thing[1] in self.catalog.kinds:
             return ("kind", thing[1], [])
@@ -321,9 +358,9 @@ class Planner:
         if not outer:
             rows, t = self.condition(inner, cond)
             return df.crossJoin(rows.agg(*counts(t))), F.col(lo), F.col(hi)  # a single row
-        equal, edges, covers, rest = self.links(df, inner, name, _conjuncts(cond), outer)
+        equal, edges, covers, bands, rest = self.links(df, inner, name, _conjuncts(cond), outer)
         if equal and not edges:
-            rest = [*rest, *covers]
+            rest = [*rest, *covers, *bands]
             if variables(rest) <= {name}:
                 return self.grouped(df, inner, equal, rest, lo, hi)
         keys = [self.fresh() for _ in outer]
@@ -333,7 +370,7 @@ class Planner:
         doubtful = None
         if edges:
             (pairs, strength, outer_term, forward), others = edges[0], [e[4] for e in edges[1:]]
-            rest = [*rest, *others, *covers, *(c for _, _, c in equal)]
+            rest = [*rest, *others, *covers, *bands, *(c for _, _, c in equal)]
             near, far, t = self.fresh(), self.fresh(), self.fresh()
             pairs = relation.strongest(pairs).select(F.col("src").alias(near if forward else far), F.col("dst").alias(far if forward else near), F.col("truth").alias(t))
             rows = left.join(pairs, self.term(df, outer_term) == F.col(near)).join(inner, F.col(f"{name}.id") == F.col(far))
@@ -343,7 +380,10 @@ class Planner:
             doubtful = equal
         elif covers:
             rows = self.covering(left, inner, name, covers[0])
-            rest = [*rest, *covers[1:]]
+            rest = [*rest, *covers[1:], *bands]
+        elif bands:
+            rows = self.beside(left, inner, name, bands[0])
+            rest = [*rest, *bands]
         elif self.is_side(source):
             rows = left.crossJoin(self.small(inner, name))
         else:
@@ -375,8 +415,8 @@ class Planner:
         return out, F.coalesce(F.col(lo), F.lit(0)), most
 
     def links(self, df: DataFrame, inner: DataFrame, name: str, conjuncts: list[tuple], outer: list[str]):
-        """Conjuncts that can drive a join: equalities (outer, inner, conjunct), edges, ranges; and the rest."""
-        equal, edges, covers, rest = [], [], [], []
+        """Conjuncts that can drive a join: equalities (outer, inner, conjunct), edges, ranges, neighbourhoods; and the rest."""
+        equal, edges, covers, bands, rest = [], [], [], [], []
         own = ("var", name, ())
         mine = lambda t: variables(t) == {name} and not _has_count(t)
         theirs = lambda t: bool(variables(t)) and variables(t) <= set(outer) and not _has_count(t)
@@ -397,10 +437,12 @@ class Planner:
                 equal.append((whole, part, c) if part[1] == name else (part, whole, c))
             elif c[0] == "rel" and c[1] in ("inside", "has") and own in c[3:] and theirs(c[4] if c[3] == own else c[3]):
                 covers.append(c)
+            elif c[0] == "rel" and c[1] in ("adjoins", "before", "after") and own in c[3:] and theirs(c[4] if c[3] == own else c[3]):
+                bands.append(c)
             else:
                 rest.append(c)
         edges = [e[:4] if i == 0 else e for i, e in enumerate(edges)]
-        return equal, edges, covers, rest
+        return equal, edges, covers, sorted(bands, key=lambda c: c[1] != "adjoins"), rest
 
     def covering(self, left: DataFrame, inner: DataFrame, name: str, cond: tuple) -> DataFrame:
         part, whole = (cond[4], cond[3]) if cond[1] == "has" else (cond[3], cond[4])
@@ -411,6 +453,31 @@ class Planner:
         rows = spans.covers(a, b, ["_file"]).drop("_file", "start", "end", "from", "to")
         return rows.filter(F.col(f"{part[1]}.id") != F.col(f"{whole[1]}.id"))
 
+    def beside(self, left: DataFrame, inner: DataFrame, name: str, cond: tuple) -> DataFrame:
+        """Pairs of one file: of one line or the one below for ``adjoins``, whatever their order else, which the condition decides."""
+        first, second = cond[3], cond[4]
+        held = {v[1]: left if v[1] != name else inner for v in (first, second)}
+        keys = ["_file"]
+        a = held[first[1]].withColumn("_file", F.col(f"{first[1]}.file"))
+        b = held[second[1]].withColumn("_file", F.col(f"{second[1]}.file"))
+        if cond[1] == "adjoins":
+            keys.append("_line")
+            line = F.col(f"{first[1]}.line")
+            a = a.withColumn("_line", F.explode(F.array(line, line + 1)))
+            b = b.withColumn("_line", F.col(f"{second[1]}.line"))
+        return a.join(b, keys).drop(*keys)
+
+    def globbed(self, df: DataFrame, inner: DataFrame, path: tuple, glob: tuple, name: str) -> DataFrame:
+        """Bindings joined to those of ``name`` by a path on one side and a pattern on the other; nulls join nothing."""
+        side = lambda t: inner if variables(t) == {name} else df
+        p, g = self.fresh(), self.fresh()
+        paths = side(path).select(self.term(side(path), path).alias(p)).distinct()
+        patterns = side(glob).select(self.term(side(glob), glob).alias(g)).distinct()
+        pairs = globs.matching(paths, patterns, p, g)
+        near, far = (g, p) if variables(path) == {name} else (p, g)
+        own, other = (path, glob) if variables(path) == {name} else (glob, path)
+        return df.join(pairs, self.term(df, other) == F.col(near)).join(inner, self.term(inner, own) == F.col(far)).drop(p, g)
+
     # The whole rule
 
     def bindings(self) -> tuple[DataFrame, list[tuple]]:
@@ -421,15 +488,23 @@ class Planner:
             conds.append(cond or TRUE)
             joint = [c for x in (cond or TRUE, *(self.rule.where if self.rule.polarity != "P-" else ())) for c in _conjuncts(x)]
             outer = [v for v in df.columns if not v.startswith("_")]
-            equal, _, _, _ = self.links(df, inner, name, [c for c in joint if c[0] == "cmp"], outer)
+            equal, _, covers, bands, _ = self.links(df, inner, name, [c for c in joint if c[0] in ("cmp", "rel")], outer)
+            equal = [e for e in equal if e[2][0] == "cmp"] or equal
+            paths = [c for c in joint if c[0] == "glob" and all(t[0] == "var" for t in c[1:]) and {c[1][1], c[2][1]} & {name} and {c[1][1], c[2][1]} - {name} <= set(outer) and c[1][1] != c[2][1]]
             if equal:
                 df = df.join(inner, reduce(lambda a, b: a & b, (self.term(df, o) == self.term(inner, i) for o, i, _ in equal)))
-            elif self.is_side(source):
+            elif self.is_side(source) and not (paths and self.large(inner)):
                 df = df.crossJoin(self.small(inner, name))
+            elif covers:
+                df = self.covering(df, inner, name, covers[0])
+            elif bands:
+                df = self.beside(df, inner, name, bands[0])
+            elif paths and (self.is_side(source) or not all(self.is_side(s) for n, s, _ in self.rule.finds if n in outer) or self.large(df)):
+                df = self.globbed(df, inner, paths[0][1], paths[0][2], name)
             elif all(self.is_side(s) for n, s, _ in self.rule.finds if n in outer):
                 df = inner.crossJoin(self.small(df, ", ".join(outer)))
             else:
-                raise RuleError(f"{self.rule.id}: no equality links {name} to {', '.join(outer)}")
+                raise RuleError(f"{self.rule.id}: no equality, range, neighbourhood or pattern links {name} to {', '.join(outer)}")
         return df, conds
 
     def message(self, df: DataFrame, text: str) -> Column:
