@@ -10,23 +10,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivium.functions import text as X
+from trivium.sources import ignore
 
 LANGUAGES = {"md": "markdown", "yml": "yaml", "yaml": "yaml", "py": "python", "rs": "rust", "go": "go", "js": "javascript", "ts": "typescript", "toml": "toml", "json": "json", "sql": "sql"}
 
 
-def walk(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), cap: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def walk(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), cap: int = 1 << 20, ignore_name: str | None = ".gitignore") -> tuple[DataFrame, DataFrame]:
     """Files under ``root`` and, apart, those over ``cap`` bytes: nothing is left out without a word.
 
-    Contents of files over the cap are not read.  Excluded patterns are of paths below the root.
+    Excluded patterns are of paths below the root; nested ignore files of the
+    name given leave out what they name (:mod:`trivium.sources.ignore`).  The
+    tree is listed first; contents are read of files that stay and keep to the
+    cap alone.  Contents that are no UTF-8 are binary and have a null text.
+    Hidden names are not listed, as by all of Spark's readers.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", ""), f"^{_quoted(base)}/", "")
-    rows = found.select(path.alias("path"), "length", "content")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    below = F.regexp_replace(F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", ""), f"^{_quoted(base)}/", "")
+    listed = reader.load(root).select(F.col("path").alias("_at"), below.alias("path"), "length")
     for pattern in exclude:
-        rows = rows.filter(~F.col("path").rlike(X.glob_pattern(pattern)))
-    text = F.decode("content", "UTF-8")
-    return described(rows.filter(F.col("length") <= cap).select("path", F.col("length").alias("size"), text.alias("text"))), rows.filter(F.col("length") > cap).select("path", F.col("length").alias("size"))
+        listed = listed.filter(~F.col("path").rlike(X.glob_pattern(pattern)))
+    if ignore_name is not None:
+        folder = F.regexp_replace("path", "/?[^/]*$", "")
+        folders = listed.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), ignore.above(folder)))).alias("folder"))
+        found = ignore.rules(ignore.ignore_files(spark, root, folders, ignore_name))
+        listed = listed.join(ignore.ignored(listed, found), "path", "left_anti")
+    large = listed.filter(F.col("length") > cap).select("path", F.col("length").alias("size"))
+    # What is read is named file by file: the driver holds the listing in any case.
+    wanted = [r["_at"] for r in listed.filter(F.col("length") <= cap).select("_at").toLocalIterator()]
+    if not wanted:
+        return described(spark.createDataFrame([], "path string, size long, text string")), large
+    read = spark.read.format("binaryFile").load([_escaped(p) for p in wanted]).select(below.alias("path"), F.col("length").alias("size"), F.expr("try_validate_utf8(cast(content as string))").alias("text"))
+    return described(read), large
+
+
+def _escaped(path: str) -> str:
+    """A path as one that stands for itself where patterns are read."""
+    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
 
 
 def _quoted(text: str) -> str:
