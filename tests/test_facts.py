@@ -225,3 +225,29 @@ def test_the_streaming_fold_does_not_mind_the_order_of_arrival(spark, tmp_path):
     run = fold_stream(stream, "ticket", ["ms"], ["title", "state"]).writeStream.outputMode("complete").format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {tuple(r) for r in spark.table("folded").collect()} == {("a", "second", "done"), ("b", "b", None)}
+
+
+def test_a_scan_reads_tickets_and_tells_what_it_cannot(spark):
+    from trivium.operators import log
+
+    tree = spark.createDataFrame([("tickets/b/ticket.json", '{"title": "two", "parent": "a"}'), ("tickets/a/ticket.json", '{"title": "one"}'), ("tickets/c/ticket.json", "{no"), ("tickets/a/events/1.json", "{}"), ("src/tickets/d/ticket.json", "{}")], "path string, text string")
+    found, unread = log.scan_at(tree, "text", "title string, parent string")
+    assert [(r.id, r.title, r.parent) for r in found.collect()] == [("a", "one", None), ("b", "two", "a")]
+    assert [r.path for r in unread.collect()] == ["tickets/c/ticket.json"]
+    more = found.withColumns({"category": F.lit("open"), "type": F.lit("task")})
+    assert [tuple(r) for r in log.summaries(more, spark.createDataFrame([("b",), ("x",)], "id string")).collect()] == [("b", "two", "open", "task")]
+    assert [tuple(r) for r in log.children(more).collect()] == [("a", "b", "two", "open")]
+
+
+@pytest.mark.parametrize("glob,want", [("a/**", True), ("", False), ("{a,{b}}", True), ("{a", False), ("a}", False), ("[x", False), ("[]x]", True), ("a/../b", False), ("..a", True), (None, None)])
+def test_globs_that_can_be_read(spark, glob, want):
+    from trivium.functions import text as X
+
+    assert spark.range(1).select(X.valid_glob(F.lit(glob).cast("string")).alias("v")).first().v is want
+
+
+def test_days_and_private_terms(spark):
+    from trivium.functions import text as X
+
+    row = spark.range(1).select(X.day_of(X.instant(F.lit(-1))).cast("string").alias("a"), X.plus_days(F.lit("2024-02-28").cast("date"), 2).cast("string").alias("b"), X.plus_days(F.lit("9999-12-31").cast("date"), 1).alias("c"), X.private_terms(F.lit("Acme's ACME+ acmes (Ann Lee) Ann"), ("acme", "acme+", "ann", "ann lee"), "$1").alias("d")).first()
+    assert tuple(row) == ("1969-12-31", "2024-03-01", None, "$1's $1 acmes ($1) $1")

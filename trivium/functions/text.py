@@ -252,6 +252,43 @@ def line_at(text: Column, offset: Column) -> Column:
     return F.when(inside, F.struct((F.size(F.split(before, "\n", -1)) - 1).alias("line"), F.octet_length(last).alias("col"), wide.alias("col16")))
 
 
+def instant(seconds: Column) -> Column:
+    """The moment so many seconds after 1970 began."""
+    return F.timestamp_seconds(seconds)
+
+
+def plus_seconds(at: Column, seconds: Column | int) -> Column:
+    return F.timestamp_micros(F.unix_micros(at) + (F.lit(seconds) if isinstance(seconds, int) else seconds).cast("long") * 1_000_000)
+
+
+def day_of(at: Column) -> Column:
+    """The day of a moment, in UTC whatever the session's zone; null before year 1 and after 9999."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros(at) / 86_400_000_000).cast("int"))
+    return F.when(F.year(day).between(1, 9999), day)
+
+
+def plus_days(day: Column, days: Column | int) -> Column:
+    """A day moved; null where it leaves the years 1 to 9999."""
+    moved = F.date_add(day, (F.lit(days) if isinstance(days, int) else days).cast("int"))
+    return F.when(F.year(moved).between(1, 9999), moved)
+
+
+def private_terms(text: Column, terms: tuple[str, ...], instead: str = "[private]") -> Column:
+    """A text without the private terms, which are whole words in any case; the longest of several counts."""
+    if not terms:
+        return text
+    listed = "|".join(re.sub(r"([^\w\s])", r"\\\1", t) for t in sorted(terms, key=lambda t: (-len(t), t)))
+    return F.regexp_replace(text, rf"(?iu)(?<![\w])(?:{listed})(?![\w])", instead.replace("\\", r"\\").replace("$", r"\$"))
+
+
+def valid_glob(glob: Column) -> Column:
+    """Can a pattern be read: it is not empty, braces and brackets are closed, and no name is ``..``?"""
+    bare = F.regexp_replace(glob, r"\[[!^]?\]?[^\]]*\]", "x")
+    for _ in range(BRACES):
+        bare = F.regexp_replace(bare, r"\{[^{}]*\}", "x")
+    return (glob != "") & ~bare.rlike(r"[\[{}]") & ~glob.rlike(r"(?:^|/)\.\.(?:/|\z)")
+
+
 def range_contains(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Does the half-open range a hold b?"""
     return (a_start <= b_start) & (b_end <= a_end)

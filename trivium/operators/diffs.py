@@ -17,6 +17,16 @@ def facet_changes(old: DataFrame, new: DataFrame, key: str, facets: list[str]) -
     return both.select(key, change.alias("change"), F.when(change == "Changed", differ).otherwise(F.array().cast("array<string>")).alias("facets")).filter("change is not null")
 
 
+def lock_changes(old: DataFrame, new: DataFrame, key: str, facets: list[str], old_flows: DataFrame, new_flows: DataFrame, flow: str = "flow") -> DataFrame:
+    """``what, key, change, facets``: entries of two lock files that differ, and flows, whose ends (``producer, consumer``) are their facets.
+
+    Who acknowledged an entry, when and why is no difference.
+    """
+    entries = facet_changes(old, new, key, facets).select(F.lit("entry").alias("what"), F.col(key).cast("string").alias("key"), "change", "facets")
+    flows = facet_changes(old_flows, new_flows, flow, ["producer", "consumer"])
+    return entries.unionByName(flows.select(F.lit("flow").alias("what"), F.col(flow).cast("string").alias("key"), "change", F.array().cast("array<string>").alias("facets")))
+
+
 def identity_delta(anchor_a: Column, content_a: Column, anchor_b: Column, content_b: Column) -> Column:
     """Unchanged, Modified, Renamed or Unrelated; unknown (null) content equals nothing."""
     same = F.coalesce(content_a == content_b, F.lit(False))

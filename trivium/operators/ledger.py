@@ -28,6 +28,12 @@ def dangling(links: DataFrame, tickets: DataFrame, key: str = "id") -> DataFrame
     return links.filter("dst is not null").join(tickets.select(F.col(key).alias("dst")).distinct(), "dst", "left_anti")
 
 
+def dangling_ends(links: DataFrame, tickets: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
+    """``src, kind, dst`` of links and, of the kind ``parent``, of parents whose target is no ticket."""
+    parents = tickets.filter(F.col(parent).isNotNull()).select(F.col(key).alias("src"), F.lit("parent").alias("kind"), F.col(parent).alias("dst"))
+    return dangling(links.select("src", "kind", "dst").unionByName(parents), tickets, key).select("src", "kind", "dst")
+
+
 def topology(links: DataFrame) -> DataFrame:
     """``problem, kind, node``: links to oneself, and targets of any kind that several origins claim; :func:`faults` judges what each kind allows."""
     real = links.filter("src is not null and dst is not null").select("src", "kind", "dst").distinct()

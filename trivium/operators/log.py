@@ -155,6 +155,34 @@ def missing_on_base(tickets: DataFrame, base: DataFrame, key: str = "id") -> Dat
     return tickets.join(base.select(key).distinct(), key, "left_anti")
 
 
+def scan_at(tree: DataFrame, parse: str, schema: str, folder: str = "tickets") -> tuple[DataFrame, DataFrame]:
+    """Tickets of a tip's tree ``path, text``, by identifier, and the paths under ``folder`` that cannot be read.
+
+    A ticket is the file ``<folder>/<id>/ticket.json``; ``parse`` names the
+    column of its text, JSON of ``schema``.  Other files are none.
+    """
+    form = f"^{folder}/([^/]+)/ticket[.]json$"
+    rows = tree.withColumn("_id", F.regexp_extract("path", form, 1)).filter("_id <> ''")
+    good, bad = parse_events(rows, parse, schema)
+    return good.withColumnRenamed("_id", "id").drop("path", parse).orderBy("id"), bad.select("path")
+
+
+def summaries(tickets: DataFrame, asked: DataFrame, key: str = "id") -> DataFrame:
+    """``id, title, category, type`` of the tickets asked for (``id``), those that are none left out."""
+    return tickets.join(asked.select(key).distinct(), key, "left_semi").select(key, "title", "category", "type")
+
+
+def find_by_key(tickets: DataFrame, asked: DataFrame, field: str) -> DataFrame:
+    """``field, ids``: the tickets that carry each value asked for in a field, in order; values that none carries are left out."""
+    rows = tickets.join(asked.select(field).distinct(), field)
+    return rows.groupBy(field).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def children(tickets: DataFrame) -> DataFrame:
+    """``id, child, title, category``: the children of each ticket."""
+    return tickets.filter("parent is not null").select(F.col("parent").alias("id"), F.col("id").alias("child"), "title", "category")
+
+
 # Milestones and cycles
 
 

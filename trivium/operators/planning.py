@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def capacity(cycles: DataFrame, points: str, window: int, k: float, min_history: int = 1) -> DataFrame:
-    """``n, mean, deviation, capacity`` of the last ``window`` cycles; population deviation, capacity null below ``min_history``.
+def capacity(cycles: DataFrame, points: str, window: int, k: float, min_history: int = 1, override: int | None = None) -> DataFrame:
+    """``n, mean, deviation, capacity`` of the last ``window`` cycles; population deviation, capacity null (unenforced) below ``min_history``; ``override`` replaces it.
 
     ``cycles`` is a dimension of the calendar (a row a cycle), so one task orders it.
     """
     last = cycles.orderBy(F.desc("start"), F.desc("end")).limit(window)
     out = last.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(points), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_pop(points), F.lit(0.0)).alias("deviation"))
-    return out.withColumn("capacity", F.when(F.col("n") >= min_history, F.floor(F.greatest(F.lit(0.0), F.col("mean") - k * F.col("deviation")))))
+    return out.withColumn("capacity", F.lit(override).cast("long") if override is not None else F.when(F.col("n") >= min_history, F.floor(F.greatest(F.lit(0.0), F.col("mean") - k * F.col("deviation")))))
 
 
 def greedy_fill(items: DataFrame, group: str, order: list[str], size: str, limit: int) -> DataFrame:

@@ -103,6 +103,27 @@ def remap_positions(edits: DataFrame, asked: DataFrame, key: str, order: str) ->
     return asked.join(log, key, "left").withColumn("now", F.aggregate(later, F.col("position").cast("int"), step)).drop("_log")
 
 
+def assignment_plan(tickets: DataFrame, target: str, cycles: DataFrame, members: DataFrame, counted: tuple[str, ...], limit: Column, over_commit: bool = False) -> DataFrame:
+    """``id, outcome, moved_from, committed, over_commit``: what assigning each ticket (``id, type, points``) alone to the cycle ``target`` comes to.
+
+    ``cycles`` hold ``id, start, state``, ``members`` ``cycle, id, type, points``.  A ticket that is added leaves
+    the first other cycle (by start) that is not closed and has it.
+    """
+    open_ = cycles.filter(~F.coalesce(F.col("state") == "closed", F.lit(False))).filter(F.col("id") != target).select(F.col("id").alias("cycle"), "start")
+    left = members.join(open_, "cycle").groupBy("id").agg(F.min_by("cycle", F.struct("start", "cycle")).alias("_from"))
+    own = members.filter(F.col("cycle") == target)
+    here = own.select("id").distinct().withColumn("_member", F.lit(True))
+    # One row: what the target is and has.
+    state = cycles.filter(F.col("id") == target).agg(F.coalesce(F.bool_or(F.col("state") == "closed"), F.lit(False)).alias("_closed"))
+    sums = own.agg(F.coalesce(F.sum(F.when(F.col("type").isin(*counted), F.col("points"))), F.lit(0)).alias("_held"))
+    rows = tickets.join(here, "id", "left").join(left, "id", "left").crossJoin(F.broadcast(state)).crossJoin(F.broadcast(sums))
+    counts = F.col("type").isin(*counted)
+    outcome = assignment(F.coalesce("_member", F.lit(False)), F.col("_closed"), F.col("type") == "epic", F.col("points"), counts, F.col("_held"), limit, over_commit)
+    total = F.col("_held") + F.when(counts, F.col("points")).otherwise(0)
+    adds = F.col("outcome") == "add"
+    return rows.withColumn("outcome", outcome).select("id", "outcome", F.when(adds, F.col("_from")).alias("moved_from"), F.when(adds, total).cast("long").alias("committed"), (adds & F.coalesce(total > limit, F.lit(False))).alias("over_commit"))
+
+
 def fidelity(artifacts: DataFrame, by: str, examined: Column, partial: Column, level: str) -> DataFrame:
     """Files, examined files, partly parsed files and the best fidelity of each language."""
     return artifacts.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.count_if(examined).alias("examined"), F.count_if(partial).alias("partial"), F.max(level).alias("best"))

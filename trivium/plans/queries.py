@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trivium.functions import text as X
 from trivium.functions import truth as T
 from trivium.operators import certain, planning, relation
-from trivium.plans import declared, fact_queries, ledger_queries, log_queries, pattern_queries, rule_queries, rules, tree_queries  # noqa: F401  (they register their queries)
+from trivium.plans import declared, fact_queries, ledger_queries, log_queries, more_queries, pattern_queries, rule_queries, rules, tree_queries  # noqa: F401  (they register their queries)
 from trivium.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from trivium.sources import checkpoint_folder, table
 

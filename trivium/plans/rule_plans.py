@@ -165,7 +165,7 @@ class Planner:
             return left + right if node[1] == "+" else left - right if node[1] == "-" else left * right
         if op == "fn":
             args = [self.term(df, a) for a in node[2]]
-            return {"resolve": X.resolve_path, "slug": X.slug, "lower": F.lower, "length": F.length}[node[1]](*args)
+            return {"resolve": X.resolve_path, "slug": X.slug, "lower": F.lower, "length": F.length, "valid_glob": X.valid_glob}[node[1]](*args)
         if op == "var":
             return self.field(df, node[1], node[2])
         raise RuleError(f"{self.rule.id}: a count is compared, not used as a value")
@@ -182,6 +182,13 @@ class Planner:
             kind = kind[part].dataType
         return F.col(".".join((name, *path)))
 
+    def kind_of(self, df: DataFrame, node: tuple) -> S.DataType | None:
+        """The type of a field, null for other terms."""
+        kind = df.schema[node[1]].dataType if node[0] == "var" and node[1] in df.columns else None
+        for part in node[2] if kind is not None else ():
+            kind = kind[part].dataType if isinstance(kind, S.StructType) and part in kind.fieldNames() else None
+        return kind
+
     def has_field(self, df: DataFrame, name: str, part: str) -> bool:
         kind = df.schema[name].dataType if name in df.columns else None
         return isinstance(kind, S.StructType) and part in kind.fieldNames()
@@ -229,7 +236,10 @@ class Planner:
         if op == "cmp":
             return self.comparison(df, *cond[1:])
         if op == "regex":
-            return df, T.lift(self.term(df, cond[1]).rlike(java_regex(cond[2], cond[3])))
+            term, pattern = self.term(df, cond[1]), java_regex(cond[2], cond[3])
+            if isinstance(self.kind_of(df, cond[1]), S.ArrayType):
+                return df, T.lift(F.exists(term, lambda x: x.rlike(pattern)))  # any element
+            return df, T.lift(term.rlike(pattern))
         if op == "glob":
             if cond[2][0] == "lit":
                 return df, T.lift(self.term(df, cond[1]).rlike(X.glob_pattern(cond[2][1])))
