@@ -117,3 +117,15 @@ def test_pipeline_stages_are_the_operators(spark, tmp_path, data):
     assert now.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert packing.SCHEMA.startswith("doc_id")
+
+
+def test_training_rows_are_bounded_and_do_not_depend_on_arrival(spark):
+    from trivium.llm.features import training_rows
+
+    rows = [(i % 7, f"text {i}", i) for i in range(300)] + [(9, None, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] + [(9, 1), (3, 0)], "doc_id long, quality int")
+    got = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, n_chars long").repartition(3)
+        got.append(sorted(map(tuple, training_rows(docs, labels, ["quality"], 5).collect())))
+    assert got[0] == got[1] and len({r[0] for r in got[0]}) == len(got[0]) <= 5

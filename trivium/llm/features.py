@@ -70,13 +70,18 @@ class WordIds(dict):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], most: int) -> DataFrame:
-    """Labelled documents to learn from: at most ``most``, those whose hashed doc_id is least.
+    """Labelled documents to learn from: at most ``most``, one a labelled doc_id, those whose hashed doc_id is least.
 
-    The bound is stated; which rows fall under it depends on their doc_id alone.
+    The bound is stated; which doc_ids fall under it depends on them alone.  Of
+    rows that share a doc_id the one whose content has the least hash is taken,
+    so neither their number nor the order of arrival matters.
     """
     wanted = labels.filter("doc_id is not null").filter(" and ".join(f"{c} is not null" for c in columns)).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     wanted = wanted.withColumnRenamed("doc_id", "_labelled")
     if most <= BROADCAST_ROWS:  # the limit above bounds what is sent; texts are then not shuffled
         wanted = F.broadcast(wanted)
-    return docs.join(wanted, F.col("doc_id") == F.col("_labelled")).drop("_labelled")
+    rows = docs.join(wanted, F.col("doc_id") == F.col("_labelled")).drop("_labelled")
+    rest = [c for c in rows.columns if c != "doc_id"]
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.struct(F.xxhash64(*rest), *(c for c in rest if c != "text"))).alias("_row"))
+    return one.select(*(F.col(c) if c == "doc_id" else F.col(f"_row.{c}").alias(c) for c in rows.columns))
