@@ -115,6 +115,20 @@ def test_globs_overlap(a, b, want):
     assert selectors.globs_overlap(a, b) is want is selectors.globs_overlap(b, a)
 
 
+def test_globs_overlap_where_a_short_path_matches_both(spark):
+    import itertools
+    import re
+
+    some = ["a", "a/b", "*", "?", "a*", "*b", "??", "**", "**/b", "a/**", "a/**/b", "*/b", "a**", "a/b*", "*/?", "b", "ab"]
+    paths = ["".join(x) for n in range(1, 6) for x in itertools.product("ab/", repeat=n)]
+    paths = [p for p in paths if not p.startswith("/") and not p.endswith("/") and "//" not in p]
+    takes = {g: {p for p in paths if re.match(X.glob_pattern(g).replace(r"\z", r"\Z"), p) or not re.search("[*?]", g) and p.startswith(g + "/")} for g in some}
+    pairs = [(a, b) for a in some for b in some]
+    assert {(a, b): selectors.globs_overlap(a, b) for a, b in pairs} == {(a, b): bool(takes[a] & takes[b]) for a, b in pairs}
+    frame = spark.createDataFrame([*pairs, ("a", None)], "a string, b string")
+    assert {tuple(r) for r in selectors.overlapping(frame, "a", "b").collect()} == {p for p in pairs if takes[p[0]] & takes[p[1]]}
+
+
 def test_text_functions(spark):
     def one(c):
         return spark.range(1).select(c.alias("x")).first().x

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+import pandas as pd
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trivium.functions import text as X
@@ -152,46 +154,81 @@ def matches(selector: str) -> Column:
     return rows
 
 
+#: What a step of a path automaton takes: any character but those named, or those alone.
+_ANY, _IN_NAME = (False, ""), (False, "/")
+
+
+def _automaton(glob: str) -> list[list[tuple[tuple[bool, str] | None, int]]]:
+    """The steps of each state of an automaton for a pattern: what is taken (null: nothing) and the next state; the last state accepts.
+
+    A pattern without wildcards also stands for all that lies below its path.
+    """
+    states: list[list[tuple[tuple[bool, str] | None, int]]] = [[]]
+
+    def onward(*steps: tuple[bool, str] | None) -> None:
+        states.append([])
+        states[-2] += [(taken, len(states) - 1) for taken in steps]
+
+    for part in re.findall(r"\*\*/|\*\*|[*?]|[^*?]", glob):
+        here = len(states) - 1
+        if part == "?":
+            onward(_IN_NAME)
+        elif part == "**/":
+            # Some folders with the stroke behind them, or none.
+            onward(None)
+            states[-1].append((_ANY, here + 1))
+            onward((True, "/"))
+            states[here].append((None, here + 2))
+        elif part[0] == "*":
+            states[here].append((_IN_NAME if part == "*" else _ANY, here))
+            onward(None)
+        else:
+            onward((True, part))
+    if not re.search(r"[*?]", glob):
+        end = len(states) - 1
+        states[end] = [((True, "/"), end + 1), (None, end + 2)]
+        states += [[(_ANY, end + 1), (None, end + 2)], []]
+    return states
+
+
+def _meet(a: tuple[bool, str], b: tuple[bool, str]) -> bool:
+    """Is there a character that both steps take?"""
+    if a[0] and b[0]:
+        return bool(set(a[1]) & set(b[1]))
+    if a[0] or b[0]:
+        named, rest = (a, b) if a[0] else (b, a)
+        return bool(set(named[1]) - set(rest[1]))
+    return True
+
+
 def globs_overlap(a: str, b: str) -> bool:
-    """Can two path patterns match one path?  No only if that is certain: classes, braces and escapes always may."""
-    def trim(g):
-        return g[2:] if g.startswith("./") else g
+    """Can two path patterns match one path?  Classes, braces and escapes always may; for all else the answer is exact.
 
-    a, b = trim(a).rstrip("/"), trim(b).rstrip("/")
-    wild = lambda g: any(c in g for c in "*?[{\\")
-    if a == b:
-        return True
-    if not wild(a) and not wild(b):
-        return a.startswith(b + "/") or b.startswith(a + "/")
-    if any(c in a + b for c in "[{\\"):
+    Both automata walk together: from a pair of states by what both take.
+    """
+    a, b = (g.removeprefix("./").rstrip("/") for g in (a, b))
+    if a == b or re.search(r"[\[{\\]", a + b):
         return True
-    left, right = a.split("/"), b.split("/")
-    reach = [[False] * (len(right) + 1) for _ in range(len(left) + 1)]  # can the first i and j segments stand for the same folders?
-    reach[0][0] = True
-    for i in range(len(left) + 1):
-        for j in range(len(right) + 1):
-            if not reach[i][j]:
-                continue
-            if i < len(left) and "**" in left[i] or j < len(right) and "**" in right[j]:
-                if i < len(left):
-                    reach[i + 1][j] |= "**" in left[i] or j < len(right)
-                if j < len(right):
-                    reach[i][j + 1] |= "**" in right[j] or i < len(left)
-            elif i < len(left) and j < len(right) and _segments_meet(left[i], right[j]):
-                reach[i + 1][j + 1] = True
-    if reach[-1][-1]:
-        return True
-    # A path without wildcards also stands for all that lies below it.
-    return not wild(a) and any(reach[len(left)]) or not wild(b) and any(row[len(right)] for row in reach)
-
-
-def _segments_meet(a: str, b: str) -> bool:
-    if not any(c in a for c in "*?"):
-        a, b = b, a
-    if not any(c in a for c in "*?"):
-        return a == b
-    if not any(c in b for c in "*?"):
-        return re.fullmatch("".join({"*": ".*", "?": "."}.get(c) or re.escape(c) for c in a), b) is not None
-    head = lambda s: re.split(r"[*?]", s)[0]
-    tail = lambda s: re.split(r"[*?]", s)[-1]
-    return (head(a).startswith(head(b)) or head(b).startswith(head(a))) and (tail(a).endswith(tail(b)) or tail(b).endswith(tail(a)))
+    left, right = _automaton(a), _automaton(b)
+    todo, seen = [(0, 0)], {(0, 0)}
+    while todo:
+        i, j = todo.pop()
+        if (i, j) == (len(left) - 1, len(right) - 1):
+            return True
+        nexts = [(k, j) for taken, k in left[i] if taken is None] + [(i, k) for taken, k in right[j] if taken is None]
+        nexts += [(k, m) for x, k in left[i] if x is not None for y, m in right[j] if y is not None and _meet(x, y)]
+        for pair in nexts:
+            if pair not in seen:
+                seen.add(pair)
+                todo.append(pair)
+    return False
+
+
+def overlapping(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs of patterns that can match one path; a null pattern matches none."""
+
+    @F.pandas_udf("boolean")
+    def meet(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([x is not None and y is not None and globs_overlap(x, y) for x, y in zip(left, right)])
+
+    return pairs.filter(meet(F.col(a), F.col(b)))

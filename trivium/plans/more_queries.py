@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trivium.functions import text as X
-from trivium.operators import agenda, diffs, ledger, log, planning, workflow
+from trivium.operators import agenda, diffs, ledger, log, planning, selectors, workflow
 from trivium.plans.registry import query
 from trivium.sources import blocks, checkpoint_folder, table
 
@@ -133,3 +133,14 @@ def overridden_capacity(spark, d):
     cycles = table(spark, d, "orders").filter("o_orderkey % 10 < 6").groupBy((F.col("o_orderkey") % 10).alias("start")).agg(F.sum(F.col("o_custkey") % 9).alias("points")).withColumn("end", F.col("start"))
     rows = planning.capacity(cycles, "points", 6, 1.0, override=40).unionByName(planning.capacity(cycles, "points", 6, 1.0))
     return rows.select(F.col("n").cast("int").alias("n"), "capacity")
+
+
+LEASES = "CASE p_partkey % 3 WHEN 0 THEN concat('src/d', CAST(p_partkey % 7 AS STRING), '/**') WHEN 1 THEN concat('src/d', CAST(p_partkey % 7 AS STRING)) ELSE concat('src/*/f', CAST(p_partkey % 7 AS STRING), '?.rs') END"
+WANTED = "CASE WHEN p_size % 2 = 0 THEN concat('src/d', CAST(p_size % 7 AS STRING), '/x*.rs') ELSE concat('**/f', CAST(p_size % 7 AS STRING), '*') END"
+
+
+@query("SELECT p_partkey FROM part WHERE CASE WHEN p_partkey % 3 < 2 AND p_size % 2 = 0 THEN p_partkey % 7 = p_size % 7 WHEN p_partkey % 3 < 2 THEN true WHEN p_size % 2 = 0 THEN false ELSE p_partkey % 7 = p_size % 7 END")
+def overlapping_leases(spark, d):
+    """Pairs of patterns that can take one file."""
+    pairs = table(spark, d, "part").selectExpr("p_partkey", f"{LEASES} AS held", f"{WANTED} AS wanted")
+    return selectors.overlapping(pairs, "held", "wanted").select("p_partkey")

@@ -111,16 +111,18 @@ def grl_snippet_source(spark, d):
     return _tree_verdicts(spark, d, "TRE103")
 
 
-# Imports: modules m0 to m199 with the names n1 to n50, made of the parts table
+# Imports: modules of ten entries each with the names n1 to n50, made of the parts table; twenty modules refer to one another
+
+BLOCK = "CAST(floor(p_partkey / 200) AS BIGINT) * 20"
 
 KIND = "CASE p_size % 10 WHEN 5 THEN 'module' WHEN 6 THEN 'module' WHEN 7 THEN 'alias' WHEN 8 THEN 'alias' WHEN 9 THEN 'glob' ELSE 'decl' END"
 SEEK = "CASE WHEN p_size % 10 = 9 AND p_partkey % 3 > 0 THEN '' WHEN p_size % 10 IN (7, 9) THEN concat('n', CAST(p_partkey % 50 + 1 AS STRING)) WHEN p_size % 10 = 8 THEN concat('n', CAST(p_partkey % 50 + 1 AS STRING), '/n', CAST(p_partkey % 49 + 1 AS STRING)) END"
 ENTRY = (
-    "concat('m', CAST(p_partkey % 200 AS STRING)) AS module", "CASE WHEN p_size % 10 <> 9 THEN concat('n', CAST(p_size AS STRING)) END AS name", f"{KIND} AS kind",
-    "CASE WHEN p_size % 10 IN (5, 6) THEN concat('m', CAST((p_partkey * 3) % 200 AS STRING)) WHEN p_size % 10 < 5 THEN concat('s', CAST(p_partkey AS STRING)) END AS target",
-    "CASE WHEN p_size % 10 >= 7 THEN concat('m', CAST((p_partkey * 7 + 1) % 200 AS STRING)) END AS start", f"{SEEK} AS seek", "p_size % 3 > 0 AS public", "CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 2 END AS status",
+    "concat('m', CAST(CAST(floor(p_partkey / 10) AS BIGINT) AS STRING)) AS module", "CASE WHEN p_size % 10 <> 9 THEN concat('n', CAST(p_size AS STRING)) END AS name", f"{KIND} AS kind",
+    f"CASE WHEN p_size % 10 IN (5, 6) THEN concat('m', CAST({BLOCK} + (p_partkey * 3) % 20 AS STRING)) WHEN p_size % 10 < 5 THEN concat('s', CAST(p_partkey AS STRING)) END AS target",
+    f"CASE WHEN p_size % 10 >= 7 THEN concat('m', CAST({BLOCK} + (p_partkey * 7 + 1) % 20 AS STRING)) END AS start", f"{SEEK} AS seek", "p_size % 3 > 0 AS public", "CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 2 END AS status",
 )
-ASK = ("p_partkey AS ask", "concat('m', CAST((p_partkey * 11) % 200 AS STRING)) AS module", "CASE WHEN p_partkey % 2 = 0 THEN concat('n', CAST(p_size AS STRING)) ELSE concat('n', CAST(p_size AS STRING), '/n', CAST(p_partkey % 50 + 1 AS STRING)) END AS seek")
+ASK = ("p_partkey AS ask", f"concat('m', CAST({BLOCK} + (p_partkey * 11) % 20 AS STRING)) AS module", "CASE WHEN p_partkey % 2 = 0 THEN concat('n', CAST(p_size AS STRING)) ELSE concat('n', CAST(p_size AS STRING), '/n', CAST(p_partkey % 50 + 1 AS STRING)) END AS seek")
 #: States of all searches; a glob is asked where no entry of the module has the name.
 SEARCH = """e AS MATERIALIZED (SELECT module, name, kind, target, start, CASE WHEN seek = '' THEN [] ELSE string_split(seek, '/') END AS path, public, status FROM er), hd AS MATERIALIZED (SELECT DISTINCT module, name FROM e WHERE kind <> 'glob'),
 st(ask, writer, module, path, t) AS (SELECT ask, module, module, string_split(seek, '/'), 2 FROM q UNION
