@@ -115,6 +115,28 @@ def unmatched(paths: DataFrame, patterns: DataFrame, path: str = "path", glob: s
     return paths.join(hit, path, "left_anti")
 
 
+def owner_candidates(items: DataFrame, selectors: DataFrame, path: str = "path") -> DataFrame:
+    """``item, entity, specificity, must``: what :func:`certain.owners` decides among, from selectors ``entity, glob, must``."""
+    from trivium.operators.selectors import specificity
+
+    @F.pandas_udf("array<int>")
+    def weigh(globs: pd.Series) -> pd.Series:
+        return globs.map(lambda g: None if g is None else list(specificity(g)))
+
+    weighed = selectors.select("entity", "glob", "must").distinct().withColumn("specificity", weigh("glob"))
+    return matching(items.select(F.col(path).alias("item")).distinct(), weighed, "item").select("item", "entity", "specificity", "must")
+
+
+def forbidden(imports: DataFrame, bans: DataFrame) -> DataFrame:
+    """``file, target, ban`` of the imports (``file, target``) that a table of bans (``ban, glob, name``) hits: of a name, or what lies below it, from files of a pattern."""
+    places = matching(imports.select("file").distinct(), bans.select("glob").distinct(), "file")
+    rows = imports.select("file", "target").distinct()
+    # A target asks for itself and for each name above it, so that bans are found by an equality.
+    above = F.split("target", "::")
+    named = rows.withColumn("name", F.explode(F.transform(F.sequence(F.lit(1), F.size(above)), lambda i: F.array_join(F.slice(above, F.lit(1), i), "::"))))
+    return named.join(bans.select("ban", "glob", "name"), "name").join(places, ["file", "glob"], "left_semi").select("file", "target", "ban").distinct()
+
+
 def resolved_scopes(leases: DataFrame, files: DataFrame, shared: DataFrame) -> DataFrame:
     """``lease, path``: the files of each lease's patterns (``lease, glob``) but for those that a shared pattern (``glob``) takes."""
     own = unmatched(files.select("path").distinct(), shared)

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivium.operators import exports, facets, globs, memo, snapshots, twigs
+from trivium.operators import certain, exports, facets, globs, memo, snapshots, twigs
 from trivium.plans import rule_plans, rulelang
 from trivium.plans.registry import query
 from trivium.plans.tree_queries import ABOVE, NODES, nodes
@@ -203,6 +203,33 @@ def changes_out_of_scope(spark, d):
     return globs.out_of_scope(changed, _patterns(spark, d), spark.range(1).selectExpr(f"{SHARED} AS glob"))
 
 
+SPEC = "CASE p_size % 5 WHEN 0 THEN [1, 3, -1, 0, 0, 0] WHEN 1 THEN [1, 1, -1, 0, 0, 0] ELSE [1, 2, 0, -2, 0, 0] END"
+
+
+@query(f"""WITH {HITS}, c AS MATERIALIZED (SELECT path AS item, 'e' || p_partkey % 11 AS entity, {SPEC} AS spec, p_size % 4 > 0 AS must FROM hit JOIN part ON p_partkey = pattern),
+s AS (SELECT item, max(spec) FILTER (must) AS m, max(spec) AS high FROM c GROUP BY item), t AS (SELECT c.item, count(DISTINCT entity) AS n, max(entity) AS x FROM c JOIN s USING (item) WHERE must AND spec = m GROUP BY c.item), r AS (SELECT c.item, max(spec) AS rival FROM c JOIN t USING (item) WHERE entity <> x GROUP BY c.item),
+a AS (SELECT c.item, string_agg(DISTINCT entity, ',' ORDER BY entity) AS "all", string_agg(DISTINCT entity, ',' ORDER BY entity) FILTER (spec = m) AS tied FROM c JOIN s USING (item) GROUP BY c.item),
+o AS (SELECT item, string_agg(DISTINCT entity, ',' ORDER BY entity) AS open FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.item = c.item AND d.must AND d.entity <> c.entity AND d.spec > c.spec) GROUP BY item)
+SELECT item, CASE WHEN m IS NULL THEN 'May' WHEN n > 1 AND high = m THEN 'Unknown' WHEN n = 1 AND (rival IS NULL OR rival < m) THEN 'Must' ELSE 'May' END AS status,
+CASE WHEN m IS NULL THEN "all" WHEN n > 1 AND high = m THEN tied WHEN n = 1 AND (rival IS NULL OR rival < m) THEN x ELSE open END AS owners FROM s LEFT JOIN t USING (item) LEFT JOIN r USING (item) LEFT JOIN a USING (item) LEFT JOIN o USING (item)""")
+def owners_by_patterns(spark, d):
+    """Who owns each file, from a table of patterns, by their specificity."""
+    selectors = table(spark, d, "part").selectExpr("concat('e', CAST(p_partkey % 11 AS STRING)) AS entity", f"{GLOB} AS glob", "p_size % 4 > 0 AS must")
+    return certain.owners(globs.owner_candidates(_paths(spark, d), selectors)).withColumn("owners", F.array_join("owners", ","))
+
+
+NAME = "concat('pkg::src', CAST(p_size % 20 AS STRING), CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '::m1' END)"
+IMPORTED = "concat('pkg::', source, '::m', CAST(doc_id % 3 AS STRING))"
+
+
+@query(f"""WITH {HITS}, i AS (SELECT DISTINCT {PATH} AS file, {IMPORTED} AS target FROM documents), b AS (SELECT p_partkey AS ban, {NAME} AS name FROM part)
+SELECT file, target, ban FROM i JOIN hit ON path = file JOIN b ON ban = pattern WHERE target = name OR starts_with(target, name || '::')""")
+def banned_imports(spark, d):
+    """Imports that a table of bans hits: names, and what is below them, from files of a pattern."""
+    bans = table(spark, d, "part").selectExpr("p_partkey AS ban", f"{GLOB} AS glob", f"{NAME} AS name")
+    return globs.forbidden(table(spark, d, "documents").selectExpr(f"{PATH} AS file", f"{IMPORTED} AS target"), bans)
+
+
 # Memos and deltas
 
 CHANGED = "CASE WHEN p_partkey % 97 = 0 THEN p_size + 1 ELSE p_size END"
