@@ -12,7 +12,7 @@ and all searches go on together, a round a step; a state that a search has had
 is not followed again, which ends cycles of re-exports.  A glob is asked only
 where no entry of the module has the name.  Entries that are not public are
 seen from their module and those inside it alone (``a::b`` is inside ``a``).
-A path that aliases make longer than ``MOST_NAMES`` means nothing.
+A path that aliases make longer than ``most`` names (``MOST_NAMES``) means nothing.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def _start(asks: DataFrame) -> DataFrame:
     return asks.select("ask", writer.alias("writer"), "module", "path", F.lit(2).cast("tinyint").alias("truth"))
 
 
-def follow(asks: DataFrame, entries: DataFrame) -> DataFrame:
+def follow(asks: DataFrame, entries: DataFrame, most: int | None = None) -> DataFrame:
     """``ask, target, is_module, truth``: all that the paths (``ask, module, path``, and ``writer`` if another module asks) mean."""
     entries = entries.checkpoint()
     named, globs = entries.filter("kind <> 'glob'").alias("e"), entries.filter("kind = 'glob'").alias("e")
@@ -64,7 +64,7 @@ def follow(asks: DataFrame, entries: DataFrame) -> DataFrame:
         unknown = rows.filter(F.col("e.module").isNull()).select("s.*").alias("s")
         brought = unknown.join(globs, F.col("s.module") == F.col("e.module")).filter(_visible("e", F.col("s.writer")))
         brought = brought.select("s.ask", F.col("e.module").alias("writer"), F.col("e.start").alias("module"), F.concat("e.path", "s.path").alias("path"), least)
-        return onward.unionByName(brought).filter(F.size("path") <= MOST_NAMES)
+        return onward.unionByName(brought).filter(F.size("path") <= (most or MOST_NAMES))
 
     spark = asks.sparkSession
     # Spark 4.1 fails to rename what it infers about a checkpointed frontier (a missing key) when that is joined to itself.
@@ -78,20 +78,20 @@ def follow(asks: DataFrame, entries: DataFrame) -> DataFrame:
     return ends.groupBy("s.ask", "e.target").agg(F.max(F.col("e.kind") == "module").alias("is_module"), F.max(F.least("s.truth", "e.status")).cast("tinyint").alias("truth"))
 
 
-def resolve_imports(asks: DataFrame, entries: DataFrame) -> DataFrame:
+def resolve_imports(asks: DataFrame, entries: DataFrame, most: int | None = None) -> DataFrame:
     """``ask, status, targets``: Must for the one thing that a path certainly means, May for all that it may, Unknown for none."""
-    found = follow(asks, entries).groupBy("ask").agg(F.array_sort(F.collect_set("target")).alias("targets"), F.min("truth").alias("_t"))
+    found = follow(asks, entries, most).groupBy("ask").agg(F.array_sort(F.collect_set("target")).alias("targets"), F.min("truth").alias("_t"))
     status = F.when(F.col("targets").isNull(), "Unknown").when((F.size("targets") == 1) & (F.col("_t") == 2), "Must").otherwise("May")
     return asks.select("ask").distinct().join(found, "ask", "left").select("ask", status.alias("status"), F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
 
 
-def public_names(entries: DataFrame) -> DataFrame:
+def public_names(entries: DataFrame, most: int | None = None) -> DataFrame:
     """``module, name, target, is_module, truth``: every public name of every module, its own and those it re-exports."""
     marked = entries.filter("public").withColumn("ask", F.concat_ws("\x00", "module", "kind", F.coalesce("name", F.lit("")), "start", F.array_join("path", "\x01"), "status"))
     asks = marked.filter("kind in ('alias', 'glob')").select("ask", "module", "start", "path").distinct()
     # An alias is written in its own module: what it may see is decided there, wherever its path starts.
     states = asks.select("ask", F.col("module").alias("writer"), F.col("start").alias("module"), "path")
-    meant = follow(states, entries).select("ask", F.col("target").alias("meant"), "is_module", "truth").checkpoint()
+    meant = follow(states, entries, most).select("ask", F.col("target").alias("meant"), "is_module", "truth").checkpoint()
     own = marked.filter("kind in ('decl', 'module')").select("module", "name", "target", (F.col("kind") == "module").alias("is_module"), F.col("status").cast("tinyint").alias("truth"))
     least = F.least("truth", "status").cast("tinyint").alias("truth")
     aliased = marked.filter("kind = 'alias'").join(meant, "ask").select("module", "name", F.col("meant").alias("target"), "is_module", least)
@@ -109,9 +109,9 @@ def public_names(entries: DataFrame) -> DataFrame:
     return every.groupBy("module", "name", "target").agg(F.max("is_module").alias("is_module"), F.max("truth").alias("truth"))
 
 
-def public_api(entries: DataFrame, roots: DataFrame) -> DataFrame:
+def public_api(entries: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """``root, target, truth``: all that a root module makes public, directly or through public modules, by its own names and re-exports."""
-    names = public_names(entries).checkpoint()
+    names = public_names(entries, most).checkpoint()
     inner = names.filter("is_module").select("module", F.col("target").alias("below"), F.col("truth").alias("along"))
     step = lambda rows: rows.join(inner, "module").select("root", F.col("below").alias("module"), F.least("truth", "along").cast("tinyint").alias("truth"))
     reached = relation._extend(roots.select("root", F.col("root").alias("module"), F.lit(2).cast("tinyint").alias("truth")), step, ["root", "module", "truth"], None)

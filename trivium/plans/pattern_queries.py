@@ -130,7 +130,7 @@ SELECT st.ask, CASE e.kind WHEN 'module' THEN st.writer ELSE e.module END, CASE
 CASE e.kind WHEN 'module' THEN st.path[2:] WHEN 'alias' THEN list_concat(e.path, st.path[2:]) ELSE list_concat(e.path, st.path) END, least(st.t, e.status)
 FROM st JOIN e ON e.module = st.module AND (e.public OR st.writer = e.module) AND len(st.path) > 0
 AND (e.kind = 'module' AND e.name = st.path[1] AND len(st.path) > 1 OR e.kind = 'alias' AND e.name = st.path[1] OR e.kind = 'glob' AND (st.module, st.path[1]) NOT IN (SELECT (module, name) FROM hd))
-WHERE len(CASE e.kind WHEN 'module' THEN st.path[2:] WHEN 'alias' THEN list_concat(e.path, st.path[2:]) ELSE list_concat(e.path, st.path) END) <= 12),
+WHERE len(CASE e.kind WHEN 'module' THEN st.path[2:] WHEN 'alias' THEN list_concat(e.path, st.path[2:]) ELSE list_concat(e.path, st.path) END) <= 5),
 en AS (SELECT st.ask, e.target, max(least(st.t, e.status)) AS t FROM st JOIN e ON e.module = st.module AND e.name = st.path[1] AND e.kind IN ('decl', 'module') AND (e.public OR st.writer = e.module) WHERE len(st.path) = 1 GROUP BY ALL)"""
 
 
@@ -146,7 +146,7 @@ def resolve_import(spark, d):
     """What paths of one or two names mean from a module, through modules, renamings and globs."""
     checkpoint_folder(spark)
     asks = table(spark, d, "part").selectExpr(*ASK).select("ask", "module", F.split("seek", "/").alias("path"))
-    return exports.resolve_imports(asks, entries(spark, d)).withColumn("targets", F.array_join("targets", ","))
+    return exports.resolve_imports(asks, entries(spark, d), 5).withColumn("targets", F.array_join("targets", ","))
 
 
 @query(f"""WITH RECURSIVE er AS (SELECT {', '.join(ENTRY)} FROM part), pu AS (SELECT row_number() OVER () AS ask, * FROM er WHERE public), q AS (SELECT ask, start AS module, seek, module AS writer FROM pu WHERE kind IN ('alias', 'glob') AND seek <> ''),
@@ -160,7 +160,7 @@ def public_api(spark, d):
     """All that three root modules make public, by their own names and by what they and their public modules re-export."""
     checkpoint_folder(spark)
     rows = entries(spark, d)
-    return exports.public_api(rows, rows.filter("module in ('m1', 'm50', 'm99')").select(F.col("module").alias("root")).distinct())
+    return exports.public_api(rows, rows.filter("module in ('m1', 'm50', 'm99')").select(F.col("module").alias("root")).distinct(), 5)
 
 
 # Pattern tables
