@@ -102,6 +102,9 @@ def test_selectors(spark):
     assert truths('("docs/" | lang(rust)) & attr(size ~ 1*)') == [2, 0, 1]
     rows = items.select(selectors.matches('"src/*" | "src/a.rs" | lang(rust)').alias("m")).first().m
     assert [(r.spec, r.truth) for r in rows] == [([2, 2, 0, 0, 0, 0], 2)]
+    # Of both the larger pattern part, the predicates added; here and below beside the overlap of patterns, which has steps of its own.
+    rows = items.select(selectors.matches('"src/**" & lang(rust) & kind(fn)').alias("m")).first().m
+    assert [(r.spec, r.truth) for r in rows] == [([1, 1, -1, 0, 0, 2], 2)]
     for bad in ('"src', "lang(rust) &", '("a"', "lang(a) lang(b)"):
         with pytest.raises(ValueError):
             selectors.matches(bad)

@@ -191,7 +191,7 @@ def _automaton(glob: str) -> list[list[tuple[tuple[bool, str] | None, int]]]:
     return states
 
 
-def _meet(a: tuple[bool, str], b: tuple[bool, str]) -> bool:
+def _share(a: tuple[bool, str], b: tuple[bool, str]) -> bool:
     """Is there a character that both steps take?"""
     if a[0] and b[0]:
         return bool(set(a[1]) & set(b[1]))
@@ -216,7 +216,7 @@ def globs_overlap(a: str, b: str) -> bool:
         if (i, j) == (len(left) - 1, len(right) - 1):
             return True
         nexts = [(k, j) for taken, k in left[i] if taken is None] + [(i, k) for taken, k in right[j] if taken is None]
-        nexts += [(k, m) for x, k in left[i] if x is not None for y, m in right[j] if y is not None and _meet(x, y)]
+        nexts += [(k, m) for x, k in left[i] if x is not None for y, m in right[j] if y is not None and _share(x, y)]
         for pair in nexts:
             if pair not in seen:
                 seen.add(pair)
