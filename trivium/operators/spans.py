@@ -28,7 +28,8 @@ def covers(inner: DataFrame, outer: DataFrame, on: list[str]) -> DataFrame:
     wide = outer.withColumn("_level", _level(F.col("to") - F.col("from") + 1))
     wide = wide.withColumn("_bin", F.explode(F.array_distinct(F.array(_bin(F.col("from"), F.col("_level")), _bin(F.col("to"), F.col("_level"))))))
     asked = inner.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("_bin", _bin(F.col("start"), F.col("_level")))
-    return asked.join(wide, [*on, "_level", "_bin"]).filter((F.col("from") <= F.col("start")) & (F.col("end") <= F.col("to"))).drop("_level", "_bin")
+    # Both sides hold several rows for each of theirs: neither goes whole to every executor.
+    return asked.join(wide.hint("merge"), [*on, "_level", "_bin"]).filter((F.col("from") <= F.col("start")) & (F.col("end") <= F.col("to"))).drop("_level", "_bin")
 
 
 def tightest(inner: DataFrame, outer: DataFrame, on: list[str], key: str, name: str) -> DataFrame:

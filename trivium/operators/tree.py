@@ -102,7 +102,7 @@ def contents(roots: DataFrame, nodes: DataFrame, kinds: dict[str, Column]) -> Da
     """``roots`` with the number of nodes of each kind (a condition on ``nodes``) under them."""
     marked = nodes.select("artifact", "node_id", "start", "end", "depth", *(c.alias(f"_{k}") for k, c in kinds.items()))
     found = ancestry(marked, roots).groupBy("above").agg(*(F.count_if(f"_{k}").alias(k) for k in kinds))
-    return roots.join(found.withColumnRenamed("above", "node_id"), "node_id", "left").fillna(0, list(kinds))
+    return roots.join(found.withColumnRenamed("above", "node_id").hint("merge"), "node_id", "left").fillna(0, list(kinds))
 
 
 def unseen_reasons(roots: DataFrame, nodes: DataFrame) -> DataFrame:
