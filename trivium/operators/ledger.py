@@ -71,12 +71,12 @@ def faults(links: DataFrame, tickets: DataFrame) -> DataFrame:
     end = lambda node: F.concat("kind", F.lit(":"), F.col(node).cast("string"))
     bound = proper.filter(F.col("kind").isin(*ACYCLIC, "parent")).select("kind", F.col("src").alias("at"), end("src").alias("src"), end("dst").alias("dst"), truth(YES).alias("truth"))
     rings = relation.cycles(bound.select("src", "dst", "truth")).select(F.col("node").alias("src"))
-    ringed = bound.select("kind", "at", "src").join(rings, "src", "left_semi")
+    ringed = bound.select("kind", "at", "src").join(relation.met(rings), "src", "left_semi")
     splits = proper.filter("kind = 'splits'").groupBy("kind", "dst").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = proper.filter("kind = 'duplicates'")
-    chained = copies.join(copies.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    chained = copies.join(relation.met(copies.select(F.col("dst").alias("src")).distinct()), "src", "left_semi")
     stories = tickets.filter("type = 'story'").select(F.col("id").alias("dst"))
-    aimless = proper.filter("kind = 'enabler-for'").join(stories, "dst", "left_anti")
+    aimless = proper.filter("kind = 'enabler-for'").join(relation.met(stories), "dst", "left_anti")
     out = problem(edges.filter("src = dst"), "self", "src")
     for rows in (problem(ringed, "cycle", "at"), problem(splits, "origins", "dst"), problem(chained, "duplicate", "src"), problem(aimless, "target", "dst")):
         out = out.unionByName(rows)
