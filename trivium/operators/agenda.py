@@ -36,7 +36,7 @@ def under_epics(tickets: DataFrame, epics: DataFrame) -> DataFrame:
 def milestone_members(milestones: DataFrame, tickets: DataFrame) -> DataFrame:
     """``version, id``: tickets below an epic of a milestone (``version, epics``) or that claim its version by a label ``milestone:<version>``."""
     below = under_epics(tickets, milestones.select(F.explode("epics").alias("epic")).distinct())
-    by_epic = milestones.select("version", F.explode("epics").alias("epic")).join(below, "epic").select("version", "id")
+    by_epic = milestones.select("version", F.explode("epics").alias("epic")).join(relation.met(below), "epic").select("version", "id")
     return by_epic.unionByName(claims(tickets).join(milestones.select("version"), "version", "left_semi").select("version", "id")).distinct()
 
 
@@ -49,9 +49,9 @@ def claims(tickets: DataFrame) -> DataFrame:
 def claims_outside(milestones: DataFrame, tickets: DataFrame) -> DataFrame:
     """``id, version``: claims on a milestone by a ticket that stands below none of its epics."""
     below = under_epics(tickets, milestones.select(F.explode("epics").alias("epic")).distinct())
-    inside = milestones.select("version", F.explode("epics").alias("epic")).join(below, "epic").select("version", "id")
+    inside = milestones.select("version", F.explode("epics").alias("epic")).join(relation.met(below), "epic").select("version", "id")
     known = claims(tickets).join(milestones.select("version").distinct(), "version", "left_semi")
-    return known.join(inside, ["version", "id"], "left_anti").select("id", "version")
+    return known.join(relation.met(inside), ["version", "id"], "left_anti").select("id", "version")
 
 
 def without_goal(milestones: DataFrame) -> DataFrame:
