@@ -121,13 +121,13 @@ def resolve_handles(asked: DataFrame, tickets: DataFrame, shortest: int = 1) ->
     rows = asked.select("asked").distinct().withColumn("_text", F.when(is_suffix, F.upper(F.substring(text, 2, 1 << 20))).otherwise(text)).withColumn("_suffix", is_suffix)
     ids = tickets.select("id", F.explode_outer("aliases").alias("alias"))
     whole = tickets.select("id").distinct()
-    by_end = rows.filter("_suffix and _text rlike '^[0-9A-Z]+$'").withColumn("_end", F.expr(f"right(_text, {shortest})")).join(whole.withColumn("_end", F.expr(f"right(id, {shortest})")), "_end").filter(F.col("id").endswith(F.col("_text")))
-    exact = rows.filter("not _suffix").join(whole, F.col("_text") == F.col("id"))
-    named = rows.filter("not _suffix").join(whole.select(F.col("id").alias("_text")), "_text", "left_anti").join(ids, F.col("_text") == F.col("alias"))
+    by_end = rows.filter("_suffix and _text rlike '^[0-9A-Z]+$'").withColumn("_end", F.expr(f"right(_text, {shortest})")).join(whole.withColumn("_end", F.expr(f"right(id, {shortest})")).hint("merge"), "_end").filter(F.col("id").endswith(F.col("_text")))
+    exact = rows.filter("not _suffix").join(whole.hint("merge"), F.col("_text") == F.col("id"))
+    named = rows.filter("not _suffix").join(whole.select(F.col("id").alias("_text")).hint("merge"), "_text", "left_anti").join(ids.hint("merge"), F.col("_text") == F.col("alias"))
     found = by_end.select("asked", "id").unionByName(exact.select("asked", "id")).unionByName(named.select("asked", "id")).distinct()
     found = found.groupBy("asked").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     n = F.coalesce(F.size("ids"), F.lit(0))
-    out = asked.join(found, "asked", "left")
+    out = asked.join(found.hint("merge"), "asked", "left")
     return out.withColumn("status", F.when(n == 0, "NotFound").when(n == 1, "Found").otherwise("Ambiguous")).withColumn("ids", F.coalesce("ids", F.expr("cast(array() as array<string>)")))
 
 
