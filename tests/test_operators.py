@@ -168,3 +168,58 @@ def test_faults_of_links_and_parents(spark):
 def test_versions_of_any_length(spark):
     key = lambda v: X.version_key(F.lit(v))
     assert value(spark, F.array(key("1.2.3.4.6") > key("1.2.3.4.5"), key("1.2") == key("1.2.0.0.0.0"), key("1.2.0.0.0.1") > key("1.2"), key("0.0") == key("0"), key("2") > key("1.9.9.9.9"))) == [True] * 5
+
+
+def test_range_joins_send_no_side_whole_to_every_executor(spark):
+    from trivium.operators import tree
+
+    nodes = spark.range(20).selectExpr("0L AS artifact", "id AS node_id", "'unit' AS op", "'n' AS name", "id AS start", "40 - id AS end", "cast(id AS int) AS depth", "2 AS status")
+    found = tree.chain_status(nodes)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 20
+
+
+def test_rounds_find_an_unknown_end_once(spark):
+    from trivium.operators import relation
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", None), ("b", None)], "src string, dst string")
+    rows = relation.reach_pairs(spark.createDataFrame([("a", "a")], "seed string, node string"), edges).collect()
+    assert sorted((r.node for r in rows), key=repr) == ["a", "b", "c", None]
+
+
+def test_long_rings_take_few_rounds(spark):
+    from trivium.operators import relation
+
+    n = 300
+    ring = [(i, (i + 1) % n) for i in range(n)]
+    tail = [(n + i, n + i + 1) for i in range(n)] + [(2 * n, 0)]
+    # A ring whose one long way round passes a node with two edges out.
+    wide = [(1000 + i, 1000 + (i + 1) % n) for i in range(n)] + [(1007, 1100), (1007, 5000), (5000, 5001)]
+    spark.sparkContext.setJobGroup("rings", "rings")
+    got = relation.on_cycles(spark.createDataFrame(ring + tail + wide, "src long, dst long")).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rings"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert {r.node: r.ring for r in got} == {i: n - 1 for i in range(n)} | {1000 + i: 1000 + n - 1 for i in range(n)}
+    assert jobs < n, jobs
+
+
+def test_candidates_of_a_body_are_listed_once(spark):
+    from trivium.operators import bindings
+
+    lock = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", None)], "symref string, body string")
+    live = spark.createDataFrame([("n", "x"), ("m", "x"), ("u", None)], "symref string, body string")
+    found = bindings.renames(lock, live)
+    assert {(r.symref, r.state, tuple(r.candidates)) for r in found.collect()} == {("a", "renamed", ("m", "n")), ("b", "renamed", ("m", "n")), ("c", "undecided", ()), ("d", "undecided", ())}
+    lists = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_set" in x]
+    assert lists and all("Aggregate [body" in x for x in lists), lists
+
+
+def test_equal_patterns_meet_the_paths_once(spark):
+    from trivium.operators import globs
+
+    paths = spark.createDataFrame([("d/a.txt", 1), ("d/a.txt", 2), ("d/b.md", 1)], "path string, at int")
+    patterns = spark.createDataFrame([(1, "d/*.txt"), (2, "d/*.txt"), (2, "d/*.txt"), (3, "{d,e}/b.md"), (4, None)], "pattern int, glob string")
+    found = globs.matching(paths, patterns)
+    assert sorted(map(tuple, found.select("at", "path", "pattern").collect())) == [(1, "d/a.txt", 1), (1, "d/a.txt", 2), (1, "d/b.md", 3), (2, "d/a.txt", 1), (2, "d/a.txt", 2)]
+    taken = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ArrowEvalPython" in x]
+    assert taken and all("pattern" not in x for x in taken), taken

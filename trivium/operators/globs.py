@@ -104,9 +104,14 @@ def matching(paths: DataFrame, patterns: DataFrame, path: str = "path", glob: st
     """Pairs of ``paths`` and ``patterns`` (which share no column) that match, each once for each of their rows.
 
     Rows that repeat match each on their own where a column tells them apart.
+    Different paths meet different patterns; only what matches goes back to the rows of both.
     """
-    pairs = _asked(paths, path).join(compiled(patterns, glob), ["_kind", "_key"])
-    return pairs.filter(F.rlike(F.col(path), F.col("_regex"))).drop("_kind", "_key", "_regex").dropDuplicates()
+    columns = [c for c in (*paths.columns, *patterns.columns)]
+    asked = _asked(paths.select(F.col(path).alias("_path")).distinct(), "_path")
+    pairs = asked.join(compiled(patterns.select(F.col(glob).alias("_glob")).distinct(), "_glob").hint("merge"), ["_kind", "_key"])
+    hits = pairs.filter(F.rlike(F.col("_path"), F.col("_regex"))).select("_path", "_glob").distinct()
+    held = patterns.distinct().withColumn("_glob", F.col(glob)).join(hits.hint("merge"), "_glob")
+    return held.join(paths.distinct().withColumn("_path", F.col(path)).hint("merge"), "_path").select(*(F.col(f"`{c}`") for c in columns))
 
 
 def unmatched(paths: DataFrame, patterns: DataFrame, path: str = "path", glob: str = "glob") -> DataFrame:
