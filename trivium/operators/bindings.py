@@ -73,11 +73,12 @@ def renames(lock: DataFrame, live: DataFrame) -> DataFrame:
     ``renamed``: some candidate has the same known body; ``undecided``: none
     has, but some live identity's body is unknown; else the identity is left out.
     """
-    gone = lock.select("symref", "body").join(live.select("symref"), "symref", "left_anti")
-    fresh = live.select("symref", "body").join(lock.select("symref"), "symref", "left_anti")
-    same = gone.join(fresh.select(F.col("symref").alias("_new"), "body"), "body").groupBy("symref").agg(F.array_sort(F.collect_set("_new")).alias("candidates"))
+    gone = lock.select("symref", "body").join(live.select("symref").hint("merge"), "symref", "left_anti")
+    fresh = live.select("symref", "body").join(lock.select("symref").hint("merge"), "symref", "left_anti")
+    # The candidates of a body are listed once, not for each identity that had it.
+    same = fresh.filter("body is not null").groupBy("body").agg(F.array_sort(F.collect_set("symref")).alias("candidates"))
     doubt = fresh.filter("body is null").limit(1).select(F.lit(True).alias("_doubt"))
-    rows = gone.join(same, "symref", "left").join(F.broadcast(doubt), F.lit(True), "left")  # one row at most
+    rows = gone.join(same.hint("merge"), "body", "left").join(F.broadcast(doubt), F.lit(True), "left")  # one row at most
     state = F.when(F.col("candidates").isNotNull(), "renamed").when(F.col("_doubt"), "undecided")
     return rows.select("symref", state.alias("state"), F.coalesce("candidates", F.expr("cast(array() as array<string>)")).alias("candidates")).filter("state is not null")
 
