@@ -223,3 +223,20 @@ def test_equal_patterns_meet_the_paths_once(spark):
     assert sorted(map(tuple, found.select("at", "path", "pattern").collect())) == [(1, "d/a.txt", 1), (1, "d/a.txt", 2), (1, "d/b.md", 3), (2, "d/a.txt", 1), (2, "d/a.txt", 2)]
     taken = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ArrowEvalPython" in x]
     assert taken and all("pattern" not in x for x in taken), taken
+
+
+def test_each_shard_of_the_index_has_its_own_file(spark, monkeypatch):
+    import glob
+    import os
+
+    from pyspark.sql import functions as F
+
+    from trivium.llm import common, lexical
+
+    monkeypatch.setattr(lexical, "SHARD_TERMS", 4)
+    docs = spark.range(8).select(F.col("id").alias("doc_id"), F.lit("two words").alias("text")).coalesce(1)
+    with common.scratch(spark):
+        index, documents, length = lexical.build_index(docs)
+        rows = [spark.read.parquet(f).count() for f in glob.glob(os.path.join(index._trivium_folder, "index", "*.parquet"))]
+        assert (documents, length, index.count()) == (8, 16, 4)
+        assert sorted(rows) == [1, 1, 1, 1]

@@ -21,6 +21,10 @@ those blocks alone that meet them.  The threshold is carried from shard to
 shard within a task.  Bounds equal to the threshold are not skipped, so ties
 are decided by doc_id and the result is exact.
 
+A shard is one row of some 10 MB.  Parquet's writer looks at its size first after
+a hundred rows and its reader takes a row group at once, so shards of one file
+would be held together, by tasks of large splits all of them: each has its own file.
+
 Queries are taken in blocks of at most ``QUERY_BYTES``, which go to the tasks
 with what the index says about their terms; there are as many passes over the
 index as there are such blocks.  Each task gives its k best a query; they meet
@@ -49,6 +53,7 @@ from .common import materialise, release_memory, small_batches, text_bytes
 LONGEST_BLOCK = 256
 BLOCK_COST = 1_500_000
 SHARD_TERMS = 1_000_000
+SHARDS_A_FILE = 1
 QUERY_BYTES = 4 << 20
 WINDOW = 512  # documents scored between two looks at the threshold
 CUT_TOGETHER = 1 << 19
@@ -263,7 +268,7 @@ def build_index(docs: DataFrame, cost: int = BLOCK_COST, longest: int = LONGEST_
         texts = []
         release_memory()
 
-    return materialise(docs.select("doc_id", "text").mapInArrow(run, SHARD), "index"), documents, length
+    return materialise(docs.select("doc_id", "text").mapInArrow(run, SHARD), "index", most=SHARDS_A_FILE), documents, length
 
 
 def document_frequencies(index: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
