@@ -240,3 +240,19 @@ def test_each_shard_of_the_index_has_its_own_file(spark, monkeypatch):
         rows = [spark.read.parquet(f).count() for f in glob.glob(os.path.join(index._trivium_folder, "index", "*.parquet"))]
         assert (documents, length, index.count()) == (8, 16, 4)
         assert sorted(rows) == [1, 1, 1, 1]
+
+
+def test_few_groups_make_few_files(spark):
+    from trivium.llm import exact
+
+    docs = spark.createDataFrame([(i, f"Text {i % 7}") for i in range(50)], "doc_id long, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = exact.exact_groups(docs)
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert {(r.doc_id, r.keep_id) for r in found.collect()} == {(i, max(j for j in range(50) if j % 7 == i % 7)) for i in range(50)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

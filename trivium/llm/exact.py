@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, power_of_two_at_least, release_memory, rows_of, text_bytes
+from .common import ROWS_A_FILE, numbered, power_of_two_at_least, release_memory, rows_of, text_bytes
 
 KEY = 32 + 8 + 8  # digest, size and check, compared as bytes
 RECORD = np.dtype([("key", f"S{KEY}"), ("id", "<i8"), ("has_id", "<i1"), ("row", "<i8"), ("rows", "<i8")])
@@ -186,20 +186,23 @@ def merged_texts(digests: DataFrame, slices: int, largest: bool = True, fan_bits
     return runs.mapInArrow(spread, "digest binary, size long, check long, keep_id long, keep_row long, group_size long")
 
 
-def _slices(docs: DataFrame) -> int:
-    return power_of_two_at_least(max(64, docs.count() / RECORDS_A_RUN))
+def _slices(rows: int) -> int:
+    return power_of_two_at_least(max(64, rows / RECORDS_A_RUN))
 
 
 def exact_groups(docs: DataFrame, largest: bool = True, fan_bits: int = 4) -> DataFrame:
     """One row a document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
     digests = digest_rows(*numbered(docs.select("doc_id", "text")))
-    texts = merged_texts(digests, _slices(docs), largest, fan_bits)
+    n = docs.count()
+    texts = merged_texts(digests, _slices(n), largest, fan_bits)
     joined = digests.drop("row").alias("d").join(texts.alias("t"), ["digest", "size", "check"])
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    out = joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    # Few rows make few files: an executor forks for each that it writes.
+    return out.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_A_FILE)))
 
 
 def drop_exact_copies(docs: DataFrame, largest: bool = True, fan_bits: int = 4) -> DataFrame:
     """The rows of ``docs`` with their columns, one of each group of equal texts: that of the retained doc_id, the first of several such."""
     rows, row = numbered(docs)
-    texts = merged_texts(digest_rows(rows, row), _slices(docs), largest, fan_bits)
+    texts = merged_texts(digest_rows(rows, row), _slices(docs.count()), largest, fan_bits)
     return rows.join(texts.select(F.col("keep_row").alias(row)), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
