@@ -151,6 +151,16 @@ def test_repeated_spans_equal_brute_force(spark, seed, length, gram):
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in got)
 
 
+def test_anchors_are_dealt_evenly_to_buckets(spark):
+    rng = random.Random(5)
+    texts = [(d, "".join(rng.choice("abcdefgh ") for _ in range(5000)), d % 4) for d in range(40)]
+    sent = suffix.sent_anchors(spark.createDataFrame(texts, "doc_id long, text string, chunk long"), 24, 50, 24).collect()
+    sizes = [0] * 24
+    for r in sent:
+        sizes[r.bucket] += len(r.keys)
+    assert max(sizes) < 1.5 * sum(sizes) / 24 and min(sizes) > 0.5 * sum(sizes) / 24
+
+
 def test_repeated_spans_edge_cases(no_documents, odd_documents):
     assert suffix.repeated_spans(no_documents).count() == 0
     got = suffix.repeated_spans(odd_documents).collect()

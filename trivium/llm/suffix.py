@@ -44,9 +44,10 @@ from .suffix_sort import common_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 24
-CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 4 << 20
-SHARD_BYTES = 3 << 19
+# A chunk sends each bucket and each shard a row: these are so large that a row holds hundreds of anchors or contexts at tens of GB.
+CHUNK_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 RUN = 128  # windows of a context at most
 FLUSH_ANCHORS = 2_000_000
 BASE = 0xD6E8FEB86659FD93
@@ -96,13 +97,28 @@ def anchor_runs(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.nda
     return low[first], first, end
 
 
-def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> U64(24)) * U64(n) >> U64(32)).astype(np.int64)
+def bucket_starts(n: int, grams: int) -> np.ndarray:
+    """Least anchors of all buckets but the first, so that each gets as many anchors.
 
+    Anchors are minima over ``grams`` hashes, so small ones are frequent.  A hash at the share u of the hash space, with q = 1 - u, is one
+    if at least grams - 1 hashes around it are larger: the chance is q ** (grams - 1) * (1 + (grams - 1) * u), whose integral is inverted here.
+    """
+    u = np.linspace(0, 1, (1 << 16) + 1)
+    below = 1 - (1 - u) ** grams - (grams - 1) / (grams + 1) * (1 - (1 - u) ** (grams + 1))
+    return (np.interp(np.arange(1, n) / n, below / below[-1], u) * 2.0**56).astype(np.uint64)
+
+
+def _bucket(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(starts, keys, side="right")
+
+
+def sent_anchors(dealt: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+    """Distinct anchors of each chunk, by bucket; ``several`` marks those in more than one document of it.
 
-def sent_anchors(placed: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """Distinct anchors of each chunk, by bucket; ``several`` marks those in more than one document of it."""
+    The texts have to be dealt by chunk: a chunk that is spread over tasks sends each bucket a row from each of them.
+    """
     schema = "bucket long, chunk long, keys binary, several binary"
+    starts = bucket_starts(buckets, length - gram + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -112,7 +128,7 @@ def sent_anchors(placed: DataFrame, buckets: int, length: int, gram: int) -> Dat
             rows = []
             for chunk, parts in held.items():
                 keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                bucket = _bucket(keys, buckets)
+                bucket = _bucket(keys, starts)
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 for k, s, b in zip(np.split(keys, cuts), np.split(counts > 1, cuts), bucket[np.concatenate([[0], cuts])]):
                     rows.append((int(b), chunk, pack_sorted(k), np.packbits(s).tobytes()))
@@ -133,7 +149,7 @@ def sent_anchors(placed: DataFrame, buckets: int, length: int, gram: int) -> Dat
             yield flush()
         release_memory()
 
-    return placed.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def shared_anchors(sent: DataFrame) -> DataFrame:
@@ -144,9 +160,8 @@ def shared_anchors(sent: DataFrame) -> DataFrame:
         several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(k)) for s, k in zip(table.column("several").to_pylist(), keys)])
         known, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         shared = (counts > 1) | (np.bincount(inverse, several, len(known)) > 0)
-        chunks, out = table.column("chunk").to_pylist(), []
-        for k in keys:
-            out.append(pack_sorted(k[shared[np.searchsorted(known, k)]]))
+        chunks = table.column("chunk").to_pylist()
+        out = [pack_sorted(k[s]) for k, s in zip(keys, np.split(shared[inverse], np.cumsum([len(k) for k in keys])[:-1]))]
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "keys": pa.array(out, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, "chunk long, keys binary")
@@ -157,6 +172,7 @@ CONTEXTS = "shard long, chunk long, anchors binary, docs binary, rows binary, fi
 
 def contexts(placed: DataFrame, shared: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
     """Contexts of shared anchors, packed by chunk and shard; shard -1 holds windows that the chunk itself covers."""
+    starts = bucket_starts(shards, length - gram + 1)
 
     def run(texts: pa.Table, reply: pa.Table) -> pa.Table:
         names = ("shard", "chunk", "anchors", "docs", "rows", "firsts", "lengths", "data")
@@ -193,7 +209,7 @@ def contexts(placed: DataFrame, shared: DataFrame, shards: int, length: int, gra
         anchors, first, end = (np.concatenate([x[i] for x in held]) for i in (3, 4, 5))
         data = [x[2] for x in held]
         del held
-        shard = np.where(least == docs, _bucket(anchors, shards), -1)
+        shard = np.where(least == docs, _bucket(anchors, starts), -1)
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         out = []
@@ -218,11 +234,11 @@ def smallest_documents(pieces: list[bytes], docs: np.ndarray, length: int, budge
     joined[ends] = 1
     text = np.append(joined, np.int16(0))
     order = suffix_array(text, budget)
-    group = np.cumsum(common_prefixes(text, order, length) < length)
     owner = np.zeros(len(text), np.int64)
     owner[:-1] = np.repeat(np.arange(len(pieces)), sizes + 1)
-    valid = order + length <= np.append(ends, 0)[owner[order]]
-    order, group = order[valid], group[valid]
+    # What stands between equal windows in suffix order begins with the same window, so that the others can go first.
+    order = order[order + length <= np.append(ends, 0)[owner[order]]]
+    group = np.cumsum(common_prefixes(text, order, length) < length)
     owners = docs[owner[order]]
     out = np.zeros(len(text), np.int64)
     if len(order):
@@ -313,7 +329,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     chunks, buckets, shards = (max(24, -(-size // n)) for n in (CHUNK_BYTES, BUCKET_BYTES, SHARD_BYTES))
     placed = docs.select("doc_id", "text").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     dealt = placed.repartition(chunks, "chunk")
-    shared = shared_anchors(sent_anchors(placed, buckets, length, gram))
+    shared = shared_anchors(sent_anchors(dealt, buckets, length, gram))
     covered = covered_windows(contexts(dealt, shared, shards, length, gram), length)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>" + ", kept_text string" * with_text
 
