@@ -98,3 +98,29 @@ def test_guards_tell_all_that_refuses(spark):
     g.guard("unbound criteria")(lambda rows: F.col("unbound"))
     rows = g.refusals(spark.createDataFrame([(1, 0, False), (2, 1, True), (3, 0, None)], "id int, children int, unbound boolean")).collect()
     assert [r.refused for r in rows] == [[], ["open children", "unbound criteria"], ["unbound criteria"]]
+
+
+def test_verdicts_are_read_once(spark, tmp_path):
+    p = Program()
+    p.rule("SIZ001", "too-large", "error", "P+", "unit")(lambda facts, rows: Observation(F.col("size") > 2))
+    unit_facts(spark).kinds["unit"].write.parquet(f"{tmp_path}/units")
+    gate = p.gate(Facts({"unit": spark.read.parquet(f"{tmp_path}/units")}))
+    assert gate.first().failed
+    assert gate._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+def test_doubts_are_rolled_up_with_their_first_subjects(spark):
+    p = Program()
+    p.rule("DBT001", "doubts", "warn", "P+", "n")(lambda facts, rows: Observation(F.col("id") % 10 == 0, F.lit(True)))
+    p.rule("VAC001", "vacuous", "warn", "P+", "none")(lambda facts, rows: Observation(F.lit(True)))
+    p.rule("UNS001", "unseen", "warn", "P+", "blind", must_measure=True)(lambda facts, rows: Observation(F.lit(True)))
+    ids = spark.range(2000)
+    facts = Facts({"n": ids, "none": ids.limit(0), "blind": ids.limit(2).withColumn("unseen", F.lit("opaque"))})
+    got = {(r.rule, r.reason): (r.severity, r.message, r.n, r.required) for r in p.rolled(p.judge(facts)).collect()}
+    assert got == {
+        ("DBT001", None): ("warn", "doubts", 200, None),
+        ("DBT001", "unknown"): ("unresolved", "1, 1001, 1002", 1800, None),
+        ("VAC001", "vacuous"): ("unresolved", "no subject was examined", 0, None),
+        ("UNS001", "opaque"): ("unresolved", "0, 1", 2, None),
+        ("UNS001", "vacuous"): ("unresolved", "no subject was examined", 0, "vacuous"),
+    }
