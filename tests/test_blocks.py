@@ -98,3 +98,11 @@ def test_section_digests_tell_changed_sections(spark, marked):
 def test_keys_in_block_and_flow_form(marked):
     got = [(r.line, r.key) for r in blocks.keys(marked[1]).collect()]
     assert sorted(got) == sorted([(0, "name"), (1, "on"), (2, "jobs"), (3, "build"), (4, "steps"), (5, "run"), (8, "uses"), (9, "env"), (9, "A"), (9, "B c"), (9, "D"), (10, "matrix"), (10, "os"), (11, "v"), (12, "last")])
+
+
+def test_lines_are_labelled_once_for_headings_and_not_group_by_group(spark):
+    checkpoint_folder(spark)
+    lines = spark.createDataFrame([("a", i, c) for i, c in enumerate(["# x", "```", "# no", "```", "y", "==="])], "path string, line long, content string")
+    found = blocks.headings(blocks.labelled(lines, blocks.MARKDOWN, 2))
+    assert sorted((r.line, r.level, r.title) for r in found.collect()) == [(0, 1, "x"), (4, 1, "y")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("InPandas") == 1

@@ -14,7 +14,7 @@ state and the line's label, and the states that a line may open.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -110,12 +110,6 @@ def yaml_opens(line: str) -> list[str]:
 YAML = Automaton("map", (), yaml_step, yaml_opens)
 
 
-def _end(automaton: Automaton, state: str, lines: list[str]) -> str:
-    for line in lines:
-        state, _ = automaton.step(state, line)
-    return state
-
-
 def labelled(lines: DataFrame, automaton: Automaton, chunk: int = CHUNK) -> DataFrame:
     """``path, line, content, label``: what each line (``path, line, content``, numbered from 0) is part of.
 
@@ -134,15 +128,28 @@ def labelled(lines: DataFrame, automaton: Automaton, chunk: int = CHUNK) -> Data
     # Files of one chunk begin in the start state and need no composition.
     long = rows.join(only.filter("_last > 0").select("path"), "path", "left_semi")
 
-    def answers(frame: pd.DataFrame) -> pd.DataFrame:
-        content = frame.sort_values("line")["content"].fillna("").tolist()
-        first = frame["states"].iloc[0]
-        table = {s: _end(automaton, s, content) for s in dict.fromkeys([automaton.start, *automaton.rest, *([] if first is None else first)])}
-        return pd.DataFrame({"path": [frame["path"].iloc[0]], "_chunk": [frame["_chunk"].iloc[0]], "before": [list(table)], "after": [list(table.values())]})
+    # Chunks may be small and many: a task reads its lines in order as one stream, not chunk by chunk.
+    ordered = lambda x: x.repartition("path", "_chunk").sortWithinPartitions("path", "_chunk", "line")
+    table_of = lambda done: pd.DataFrame(done, columns=["path", "_chunk", "before", "after"])
+
+    def answers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, ends = None, {}
+        for frame in frames:
+            done = []
+            for path, chunk, content, asked in zip(frame["path"], frame["_chunk"], frame["content"].fillna(""), frame["states"]):
+                if at != (path, chunk):
+                    if at is not None:
+                        done.append((*at, list(ends), list(ends.values())))
+                    at, ends = (path, chunk), {s: s for s in (automaton.start, *automaton.rest, *(() if asked is None else asked))}
+                ends = {s: automaton.step(t, content)[0] for s, t in ends.items()}
+            if done:
+                yield table_of(done)
+        if at is not None:
+            yield table_of([(*at, list(ends), list(ends.values()))])
 
     while True:
         held = states.groupBy("path").agg(F.array_sort(F.collect_set("state")).alias("states"))
-        tables = long.join(held, "path", "left").groupBy("path", "_chunk").applyInPandas(answers, "path string, _chunk long, before array<string>, after array<string>").checkpoint()
+        tables = ordered(long.join(held, "path", "left")).mapInPandas(answers, "path string, _chunk long, before array<string>, after array<string>").checkpoint()
         ends = tables.select("path", F.explode("after").alias("state")).distinct()
         new = ends.join(tables.select("path", F.explode("before").alias("state")).distinct(), ["path", "state"], "left_anti").checkpoint()
         if new.isEmpty():
@@ -153,15 +160,18 @@ def labelled(lines: DataFrame, automaton: Automaton, chunk: int = CHUNK) -> Data
     entered = chain.select("path", F.posexplode(F.aggregate("chain", F.array(F.lit(automaton.start)), step)).alias("_chunk", "_state")).withColumn("_chunk", F.col("_chunk").cast("long"))
     begun = rows.join(entered, ["path", "_chunk"], "left").withColumn("_state", F.when(F.col("_chunk") == 0, automaton.start).otherwise(F.col("_state")))
 
-    def label(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("line")
-        state, out = frame["_state"].iloc[0], []
-        for line in frame["content"].fillna(""):
-            state, what = automaton.step(state, line)
-            out.append(what)
-        return pd.DataFrame({"path": frame["path"], "line": frame["line"], "content": frame["content"], "label": out})
+    def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = state = None
+        for frame in frames:
+            out = []
+            for path, chunk, content, first in zip(frame["path"], frame["_chunk"], frame["content"].fillna(""), frame["_state"]):
+                if at != (path, chunk):
+                    at, state = (path, chunk), first
+                state, what = automaton.step(state, content)
+                out.append(what)
+            yield pd.DataFrame({"path": frame["path"], "line": frame["line"], "content": frame["content"], "label": out})
 
-    return begun.groupBy("path", "_chunk").applyInPandas(label, "path string, line long, content string, label string")
+    return ordered(begun).mapInPandas(label, "path string, line long, content string, label string")
 
 
 # Markdown
@@ -173,14 +183,14 @@ def headings(marked: DataFrame) -> DataFrame:
     w = Window.partitionBy("path").orderBy("line")
     text = F.col("label") == "text"
     rows = marked.withColumn("_under", F.when((F.lead("label").over(w) == "text"), F.lead("content").over(w)))
-    hashed = rows.filter(text & F.col("content").rlike(form))
-    title = F.trim(F.regexp_extract("content", form, 2))
-    atx = hashed.select("path", "line", F.length(F.regexp_extract("content", form, 1)).alias("level"), title.alias("title"))
+    hashed = F.col("content").rlike(form)
     under = F.regexp_extract("_under", r"^ {0,3}(=+|-+)[ \t]*$", 1)
     # What a heading of two lines stands on is a paragraph: no mark, quote, list, table or indented line.
     plain = F.col("content").rlike(r"^ {0,3}[^\s#>|*+\-]") & ~F.col("content").rlike(r"^ {0,3}(?:#{1,6}(?:\s|$)|[0-9]{1,9}[.)]\s|=+\s*$)")
-    setext = rows.filter(text & plain & (under != "")).select("path", "line", F.when(under.startswith("="), 1).otherwise(2).alias("level"), F.trim("content").alias("title"))
-    return atx.unionByName(setext).withColumn("slug", X.slug(F.col("title")))
+    level = F.when(hashed, F.length(F.regexp_extract("content", form, 1))).when(under.startswith("="), 1).otherwise(2)
+    title = F.when(hashed, F.trim(F.regexp_extract("content", form, 2))).otherwise(F.trim("content"))
+    found = rows.filter(text & (hashed | plain & (under != "")))
+    return found.select("path", "line", level.alias("level"), title.alias("title")).withColumn("slug", X.slug(F.col("title")))
 
 
 def links(marked: DataFrame) -> DataFrame:
