@@ -106,3 +106,12 @@ def test_lines_are_labelled_once_for_headings_and_not_group_by_group(spark):
     found = blocks.headings(blocks.labelled(lines, blocks.MARKDOWN, 2))
     assert sorted((r.line, r.level, r.title) for r in found.collect()) == [(0, 1, "x"), (4, 1, "y")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("InPandas") == 1
+
+
+def test_lines_are_labelled_twice_for_links_of_all_forms(spark):
+    checkpoint_folder(spark)
+    content = ["[a](b.md) <http://c> [d][e] [e][] [f](g) [e]", "[e]: h.md", "```", "[no](no.md)", "```"]
+    lines = spark.createDataFrame([("a", i, c) for i, c in enumerate(content)], "path string, line long, content string")
+    found = blocks.links(blocks.labelled(lines, blocks.MARKDOWN, 2))
+    assert sorted((r.line, r.place, r.target) for r in found.collect()) == [(0, 0, "b.md"), (0, 0, "h.md"), (0, 0, "h.md"), (0, 0, "http://c"), (0, 1, "g"), (0, 1, "h.md")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("InPandas") == 2

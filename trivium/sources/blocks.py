@@ -205,14 +205,19 @@ def links(marked: DataFrame) -> DataFrame:
     defined = defined.groupBy("path", "name").agg(F.min_by("target", "line").alias("target"))
     bare = F.regexp_replace(F.col("content"), r"(`+)(?!`).*?(?<!`)\1(?!`)", "")
     used = text.filter(~F.col("content").rlike(form)).select("path", "line", bare.alias("bare"))
-    inline = used.select("path", "line", F.posexplode(F.regexp_extract_all("bare", F.lit(r"\[[^\]]*\]\(\s*<?([^)\s>]+)>?[^)]*\)"), 1)).alias("place", "target"))
-    auto = used.select("path", "line", F.posexplode(F.regexp_extract_all("bare", F.lit(r"<([a-zA-Z][a-zA-Z0-9+.-]{1,31}:[^\s<>]*)>"), 1)).alias("place", "target"))
+    matches = lambda c, form, kind: F.transform(F.regexp_extract_all(c, F.lit(form), 1), lambda x, i: F.struct(i.alias("place"), x.alias("found"), F.lit(kind).alias("kind")))
     rest = F.regexp_replace("bare", r"\[[^\]]*\]\([^)]*\)", "")
     # [text][name] counts by its second part, [name][] and [name] by their first.
-    full = used.select("path", "line", F.posexplode(F.regexp_extract_all(rest, F.lit(r"\[[^\]]+\]\[([^\]]+)\]"), 1)).alias("place", "name"))
-    short = used.select("path", "line", F.posexplode(F.regexp_extract_all(F.regexp_replace(rest, r"\[[^\]]+\]\[[^\]]+\]", ""), F.lit(r"\[([^\]]+)\](?:\[\])?(?![(\[:])"), 1)).alias("place", "name"))
-    named = full.unionByName(short).withColumn("name", name(F.col("name"))).join(defined, ["path", "name"]).select("path", "line", "place", "target")
-    return inline.unionByName(auto).unionByName(named)
+    all_of = F.concat(
+        matches("bare", r"\[[^\]]*\]\(\s*<?([^)\s>]+)>?[^)]*\)", "target"),
+        matches("bare", r"<([a-zA-Z][a-zA-Z0-9+.-]{1,31}:[^\s<>]*)>", "target"),
+        matches(rest, r"\[[^\]]+\]\[([^\]]+)\]", "name"),
+        matches(F.regexp_replace(rest, r"\[[^\]]+\]\[[^\]]+\]", ""), r"\[([^\]]+)\](?:\[\])?(?![(\[:])", "name"),
+    )
+    found = used.select("path", "line", F.explode(all_of).alias("_m")).select("path", "line", "_m.*")
+    # A target stands under itself after a line break, which no name holds, so that a file's targets do not go to one task.
+    found = found.withColumn("name", F.when(F.col("kind") == "name", name(F.col("found"))).otherwise(F.concat(F.lit("\n"), "found"))).join(defined, ["path", "name"], "left")
+    return found.filter((F.col("kind") == "target") | F.col("target").isNotNull()).select("path", "line", "place", F.when(F.col("kind") == "target", F.col("found")).otherwise(F.col("target")).alias("target"))
 
 
 def sections(marked: DataFrame) -> DataFrame:
