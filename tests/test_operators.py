@@ -203,6 +203,36 @@ def test_long_rings_take_few_rounds(spark):
     assert jobs < n, jobs
 
 
+@pytest.mark.parametrize("most", [4, 30, 200_000])
+def test_rings_are_settled_within_tasks(spark, monkeypatch, most):
+    monkeypatch.setattr(relation, "ONE_TASK", most)
+    blocks = [(20 * k + i, 20 * k + (7 * i + k) % 20) for k in range(30) for i in range(20)]
+    wide = [(19 + 20 * k, 20 * (k + 1)) for k in range(10)] + [(205, 3), (3, 599)] + [(599, 20 * k + 2) for k in range(30)]  # across ranges, and one node with many edges
+    edges = sorted({(a, b) for a, b in blocks + wide})
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    reach = {}
+    for a in range(600):
+        reach[a], open_ = set(), list(after.get(a, ()))
+        while open_:
+            if (b := open_.pop()) not in reach[a]:
+                reach[a].add(b)
+                open_ += after.get(b, ())
+    got = relation.on_cycles(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert sorted((r.node, r.ring) for r in got) == [(a, max(b for b in reach[a] if a in reach[b])) for a in range(600) if a in reach[a]]
+
+
+def test_small_graphs_take_few_jobs_to_find_rings(spark):
+    # Each job's plan and figures stay with the driver: with hundreds of them its memory grew by 10 MB a second.
+    edges = [(20 * k + i, 20 * k + (7 * i + k) % 20) for k in range(30) for i in range(20)]
+    spark.sparkContext.setJobGroup("few", "few")
+    relation.on_cycles(spark.createDataFrame(edges, "src long, dst long")).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert jobs <= 30, jobs
+
+
 def test_candidates_of_a_body_are_listed_once(spark):
     from trivium.operators import bindings
 
