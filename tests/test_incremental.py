@@ -271,3 +271,11 @@ def test_a_root_makes_public_what_can_be_reached_through_public_names(spark):
     ]
     got = exports.public_api(spark.createDataFrame(entries, ENTRIES), spark.createDataFrame([("root",)], "root string")).collect()
     assert {(x.target, x.truth) for x in got} == {("root::api", 2), ("F", 2), ("G", 2), ("own h", 2)}
+
+
+def test_every_module_is_a_root_of_the_public_api(spark, tmp_path):
+    from trivium.plans import pattern_queries
+
+    spark.range(400).selectExpr("id AS p_partkey", "CAST(id * 7 % 50 + 1 AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    own = {x.module for x in pattern_queries.entries(spark, str(tmp_path)).filter("public and kind in ('decl', 'module')").collect()}
+    assert len(own) > 30 and own <= {x.root for x in pattern_queries.public_api(spark, str(tmp_path)).collect()}
