@@ -223,6 +223,14 @@ def test_rings_are_settled_within_tasks(spark, monkeypatch, most):
     assert sorted((r.node, r.ring) for r in got) == [(a, max(b for b in reach[a] if a in reach[b])) for a in range(600) if a in reach[a]]
 
 
+def test_guesses_of_sizes_do_not_grow_with_rounds(spark):
+    # Spark multiplies them at joins: with rounds that join rows with themselves their digits doubled each round.
+    chain = spark.createDataFrame([(i, (i + 1) % 200) for i in range(200)], "node long, to long")
+    for rows in relation._pure_rings(chain):
+        guess = str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        assert len(guess) < 60, len(guess)
+
+
 def test_small_graphs_take_few_jobs_to_find_rings(spark):
     # Each job's plan and figures stay with the driver: with hundreds of them its memory grew by 10 MB a second.
     edges = [(20 * k + i, 20 * k + (7 * i + k) % 20) for k in range(30) for i in range(20)]
