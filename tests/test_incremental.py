@@ -273,6 +273,28 @@ def test_a_root_makes_public_what_can_be_reached_through_public_names(spark):
     assert {(x.target, x.truth) for x in got} == {("root::api", 2), ("F", 2), ("G", 2), ("own h", 2)}
 
 
+def test_public_names_take_paths_of_any_length(spark):
+    deep = [(f"m{i}", "n", "module", f"m{i + 1}", None, None, True, 1 if i == 9 else 2) for i in range(20)]
+    entries = [
+        *deep, ("m20", "far", "decl", "FAR", None, None, True, 2), ("root", "x", "alias", None, "m0", ["n"] * 20 + ["far"], True, 2),
+        ("root", "more", "alias", None, "root", ["more", "more"], True, 2), ("root", None, "glob", None, "root", ["z"], True, 2), ("root", "y", "alias", None, "root", ["more", "far"], True, 2),
+    ]
+    rows = spark.createDataFrame(entries, ENTRIES)
+    names = {(x.name, x.target, x.truth) for x in exports.public_names(rows).filter("module = 'root'").collect()}
+    assert names == {("x", "FAR", 1)}
+    assert not exports.public_names(rows, 12).filter("module = 'root'").collect()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_paths_of_any_length_mean_what_a_search_finds(spark, seed):
+    modules, names, entries = random_entries(seed)
+    r = random.Random(seed)
+    asks = [(str(i), m, m, [r.choice(names) for _ in range(r.randint(1, 2))]) for i, m in enumerate(modules * 3)]
+    got = exports.meant(spark.createDataFrame(asks, "ask string, writer string, module string, path array<string>"), spark.createDataFrame(entries, ENTRIES)).collect()
+    want = {(a, target, t) for a, found in meaning(asks, entries, 12).items() for target, t in found.items()}
+    assert {(x.ask, x.target, x.truth) for x in got} == want
+
+
 def test_every_module_is_a_root_of_the_public_api(spark, tmp_path):
     from trivium.plans import pattern_queries
 
